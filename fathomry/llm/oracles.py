@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from .mixing import BLOCK_TOKENS, ENTROPY, MAX_REPEATS, SEED, STEPS
 from .quality_rules import GAMMA, MEASURES, ZERO
 
 _BENCH_WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -67,4 +68,33 @@ from s left join f using (g_lang, g_source)
 """
 
 
-ORACLES: dict[str, str] = {"op5_decontamination": OP5, "op8_quality_rules": _op8()}
+OP1 = f"""
+with recursive d as (select doc_id, source, coalesce(source, chr(1)) g,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint n from documents),
+per as (select g, sum(n)::bigint tokens, count(*) docs from d group by g),
+sh as (select sum(tokens)::bigint total, list(tokens::double / (select sum(tokens) from per) order by g) ps from per where tokens > 0),
+bis as (select 0 k, 0.0::double lo, 1.0::double hi, 0.0::double lo2, 1.0::double hi2 from sh
+  union all select k + 1,
+    case when up then mid else lo end, case when up then hi else mid end,
+    case when up2 then mid2 else lo2 end, case when up2 then hi2 else mid2 end
+  from (select *, ln(z) - mid * list_sum(list_transform(ps, lambda p: p ** mid * ln(p))) / z >= {ENTROPY} * ln(len(ps)) - 1e-12 up,
+      list_max(list_transform(ps, lambda p: p ** (mid2 - 1))) * list_max(list_transform(ps, lambda p: p ** (1 - mid2))) > {MAX_REPEATS} + 1e-9 up2
+    from (select *, (lo + hi) / 2 mid, (lo2 + hi2) / 2 mid2, list_sum(list_transform(ps, lambda p: p ** ((lo + hi) / 2))) z
+      from bis, sh where k < {STEPS}))),
+e as (select greatest(hi, hi2) a from bis where k = {STEPS}),
+o as (select a, total, list_sum(list_transform(ps, lambda p: p ** a)) z,
+  round(total * (list_max(list_transform(ps, lambda p: p ** (1 - a))) * list_sum(list_transform(ps, lambda p: p ** a))))::bigint budget from e, sh),
+pl as (select g, tokens, budget, case when tokens > 0 then (tokens::double / total) ** a / z else 0 end weight,
+  case when tokens > 0 then round(budget * ((tokens::double / total) ** a / z))::bigint else 0 end quota from per, o),
+x as (select doc_id, source, g, n, tokens, budget, weight, quota,
+  unnest(range(0, case when tokens > 0 then ceil(quota / tokens)::bigint else 1 end)) pass from d join pl using (g)),
+y as (select *, md5('{SEED}:' || pass || ':' || coalesce(doc_id::varchar, 'null')) h from x),
+a as (select *, pass * tokens + sum(n) over (partition by g, pass order by h, n rows unbounded preceding) - n pos from y),
+b as (select *, greatest(case when quota = 0 then 0 else least(floor(pos * ceil(budget / {float(BLOCK_TOKENS)}) / quota),
+    ceil(budget / {float(BLOCK_TOKENS)}) - 1) end, 0)::bigint block
+  from a where pos < quota or (n = 0 and pos <= quota))
+select doc_id, source, pass::integer pass, n n_tokens, round(weight, 6) weight, block,
+  row_number() over (partition by block order by md5('slot:' || h), h, n)::bigint slot from b
+"""
+
+ORACLES: dict[str, str] = {"op1_mixing": OP1, "op5_decontamination": OP5, "op8_quality_rules": _op8()}
