@@ -6,7 +6,7 @@ documents hold it.  Those that tell the classes apart beyond chance form the lex
 logistic regression in numpy then weighs what the lexicon finds in a text.
 
 Scoring: the lexicon's trie is intersected with a Levenshtein automaton (one edit for
-words of five letters or more, two from ten).  The product is made deterministic as texts
+words of five letters or more, two from twelve).  The product is made deterministic as texts
 are read, so a word costs one look-up a letter, and a word that can't match ends at once.
 Every hit has a context window: quotation marks around it or words of reporting near it
 speak for a quotation, direct address for abuse.  The counts of exact, misspelled, stem,
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,12 +37,12 @@ from .common import scratch, text_or_empty
 
 #: Bound on the labelled documents that the classifier is fitted on.
 MAX_LABELLED = 20_000
-MAX_TERMS = 4_000
+MAX_TERMS = 1_500
 #: Letters of word beginnings, and least likelihood ratio of a term (chance: about 1e-6).
 STEMS = (4, 5, 6, 7, 8)
 LEAST_G = 24.0
 #: Size of the word memory and of the automaton, above which a worker starts afresh.
-MEMO, STATES = 300_000, 100_000
+MEMO, STATES = 100_000, 100_000
 WINDOW = 5
 
 # Words of reporting and of direct address in the four languages.
@@ -74,7 +75,7 @@ class Trie:
 
 
 def edits_allowed(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 10 else 2
+    return 0 if length < 5 else 1 if length < 12 else 2
 
 
 class Matcher:
@@ -114,7 +115,7 @@ class Matcher:
         least: dict[int, int] = {}
         for node, e in pairs:
             least[node] = min(e, least.get(node, e))
-        key = (tuple(sorted(least.items())), stem)
+        key = (array("i", sorted(4 * node + e for node, e in least.items())).tobytes(), stem)
         if not key[0] and not stem:
             return -1
         if key not in self.index:
@@ -123,10 +124,14 @@ class Matcher:
             self.steps.append({})
         return self.index[key]
 
+    @staticmethod
+    def _pairs(held: bytes) -> list[tuple[int, int]]:
+        return [divmod(x, 4) for x in array("i", held)]
+
     def _step(self, state: int, c: str) -> int:
         held, stem = self.sets[state]
         new = set()
-        for node, e in held:
+        for node, e in self._pairs(held):
             if c in self.trie.next[node]:
                 child = self.trie.next[node][c]
                 new.add((child, e))
@@ -146,8 +151,10 @@ class Matcher:
             return self.memo[word]
         except KeyError:
             pass
-        if len(self.memo) > MEMO or len(self.sets) > STATES:
+        if len(self.sets) > STATES:
             self.reset()
+        elif len(self.memo) > MEMO:
+            self.memo.clear()
         at = self.start
         for c in word:
             to = self.steps[at].get(c)
@@ -157,7 +164,7 @@ class Matcher:
         best = None
         if at >= 0:
             held, stem = self.sets[at]
-            fits = [(e, -self.trie.ends[n][1]) for n, e in held if n in self.trie.ends and e <= edits_allowed(self.trie.ends[n][0])]
+            fits = [(e, -self.trie.ends[n][1]) for n, e in self._pairs(held) if n in self.trie.ends and e <= edits_allowed(self.trie.ends[n][0])]
             if fits:
                 e, w = min(fits)
                 best = (-w, e)
@@ -310,7 +317,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         .collect()
     )
     odds = math.log(toxic / (total - toxic))
-    model = Model([(r.term, max(0.1, math.log((r.a + 0.5) / (r.n - r.a + 0.5)) - odds), r.stem) for r in found], blank.mean, blank.scale, blank.weights, blank.bias)
+    terms = pruned({(r.term, r.stem): (r.n, max(0.1, math.log((r.a + 0.5) / (r.n - r.a + 0.5)) - odds)) for r in found})
+    model = Model(terms, blank.mean, blank.scale, blank.weights, blank.bias)
     rows = _features_of(learned, model, ["y"], "y int").select("y", "x").collect()  # at most max_labelled short rows
     x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
     model.mean, model.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
@@ -318,6 +326,28 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return model
 
 
+def pruned(found: dict[tuple[str, bool], tuple[int, float]]) -> list[tuple[str, float, bool]]:
+    """Terms without those that say nothing new.
+
+    A beginning that is (nearly) one word's alone gives way to the word, which may then be
+    misspelled; words and longer beginnings give way to a shorter beginning of a family that
+    tells the classes apart as well.
+    """
+    most: dict[str, int] = {}
+    for (word, stem), (n, _) in found.items():
+        for k in STEMS if not stem else ():
+            if len(word) > k:
+                most[word[:k]] = max(n, most.get(word[:k], 0))
+    family = {t: w for (t, stem), (n, w) in found.items() if stem and most.get(t, 0) < 0.8 * n}
+    kept = []
+    for (term, stem), (_, w) in found.items():
+        if stem and term not in family:
+            continue
+        if not any(len(term) > k and family.get(term[:k], -math.inf) >= w - 0.5 for k in STEMS):
+            kept.append((term, w, stem))
+    return kept
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = train(docs, labels)
