@@ -1,55 +1,12 @@
-"""What the training-data operators share: scratch tables, guarded broadcasts, sessions."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast (narrow rows: at most some tens of MB).
-MAX_BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset (a local session, as in tests) is a temporary folder taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not hasattr(spark.sparkContext, "_fathomry_dir"):
-        spark.sparkContext._fathomry_dir = tempfile.mkdtemp(prefix="fathomry-")
-    return spark.sparkContext._fathomry_dir
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: what follows survives the loss of any executor, and the
-    planner knows the table's size.  Tables of one application lie in one folder,
-    ``<shared>/fathomry/<application id>``, which :func:`drop_scratch` removes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fathomry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the scratch tables of this application; call it once results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fathomry/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` are within ``limit``, else as it is.
+from ..tables import MAX_BROADCAST_ROWS, drop_scratch, scratch, shared_dir, small
 
-    Beyond the limit Spark joins by shuffle and AQE splits skewed partitions.
-    """
-    return F.broadcast(df) if rows <= limit else df
+__all__ = ["MAX_BROADCAST_ROWS", "drop_scratch", "scratch", "shared_dir", "small", "text_or_empty"]
 
 
 def text_or_empty(name: str = "text"):
