@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-LINES = r"\n+|[.!?;:]+(?:\s+|$)"
-WRAPPED = r"\n[ \t]*\n\s*|[.!?;:]+(?:\s+|$)"
+LINES = r"\n+|[.!?;]+(?:\s+|$)"
+WRAPPED = r"\n[ \t]*\n\s*|:[ \t]*\n\s*|[.!?;]+(?:\s+|$)"
 
 # Names by which licences are cited, and the templates of citing sentences.
 NAMES = {

@@ -38,9 +38,9 @@ SEED = "mix"
 #: Documents in a piece of a permutation, to a factor of 16.
 PIECE = 256
 
-_H = "aggregate(ps, struct(0d as z, 0d as s), (t, p) -> struct(t.z + pow(p, {a}) as z, t.s + pow(p, {a}) * ln(p) as s), t -> ln(t.z) - {a} * t.s / t.z)"
+_H = "aggregate(ps, struct(0d as z, 0d as s), (t, p) -> struct(t.z + pow(p, {a}) as z, t.s + pow(p, {a}) * ln(p) as s), t -> ln(t.z) - {a} * t.s / nullif(t.z, 0d))"
 #: Most repeats of a source, by exponent: max of w / p times the budget's ratio to all tokens.
-_R = "aggregate(ps, struct(0d as z, 0d as m), (t, p) -> struct(t.z + pow(p, {a}) as z, greatest(t.m, pow(p, {a} - 1)) as m), t -> t.m / t.z) * ({ratio})"
+_R = "aggregate(ps, struct(0d as z, 0d as m), (t, p) -> struct(t.z + pow(p, {a}) as z, greatest(t.m, pow(p, {a} - 1)) as m), t -> t.m / nullif(t.z, 0d)) * ({ratio})"
 _FULL = "aggregate(ps, struct(0d as z, 0d as m), (t, p) -> struct(t.z + pow(p, {a}) as z, greatest(t.m, pow(p, 1 - {a})) as m), t -> t.m * t.z)"
 
 

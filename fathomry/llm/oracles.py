@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from . import license_scan
 from .mixing import BLOCK_TOKENS, ENTROPY, MAX_REPEATS, SEED, STEPS
 from .quality_rules import GAMMA, MEASURES, ZERO
 
@@ -29,7 +30,7 @@ from d left join c on d.doc_id = c.doc_id left join i on d.doc_id = i.doc_id
 
 
 def _op8() -> str:
-    bucket = lambda m: f"case when coalesce({m.value}, 0) < {m.resolution} then {ZERO} else ceil(ln({m.value}) / {math.log(GAMMA)!r})::bigint end"
+    bucket = lambda m: f"case when {m.value} is null then null when {m.value} < {m.resolution} then {ZERO} else ceil(ln({m.value}) / {math.log(GAMMA)!r})::bigint end"
     cells = " union all ".join(f"select g_lang, g_source, '{k}' measure, {bucket(m)} bucket from s where not base_failed" for k, m in MEASURES.items())
     fence, test = [], []
     for k, m in MEASURES.items():
@@ -56,7 +57,7 @@ s0 as (select w.doc_id, g_lang, g_source, len(w)::bigint n_words, len(l)::bigint
   (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words
   from w left join r on w.doc_id = r.doc_id),
 s as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from s0),
-k as (select g_lang, g_source, measure, bucket, count(*) n from ({cells}) group by all),
+k as (select g_lang, g_source, measure, bucket, count(*) n from ({cells}) where bucket is not null group by all),
 c as (select *, sum(n) over (partition by g_lang, g_source, measure order by bucket) cum,
   sum(n) over (partition by g_lang, g_source, measure) total from k),
 q as (select g_lang, g_source, measure, min(bucket) filter (where cum * 4 >= total) q1,
@@ -97,4 +98,43 @@ select doc_id, source, pass::integer pass, n n_tokens, round(weight, 6) weight,
   row_number() over (partition by block order by md5('slot:' || h), h, n)::bigint slot from b
 """
 
-ORACLES: dict[str, str] = {"op1_mixing": OP1, "op5_decontamination": OP5, "op8_quality_rules": _op8()}
+_SETS = """
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') w from documents),
+sh as (select distinct doc_id, array_to_string(w[s + 1:s + 5], ' ') k from (select doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) s from d where len(w) > 0)),
+n as (select doc_id, count(*) n from sh group by doc_id)"""
+
+#: All pairs by shared shingles, then the least doc_id that each reaches.
+OP9 = f"""{_SETS},
+p as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.k = b.k and a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+m as (select x doc_id, min(y) y from r group by x)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, coalesce(least(d.doc_id, m.y), d.doc_id) component_id, d.doc_id = coalesce(least(d.doc_id, m.y), d.doc_id) kept
+from d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
+"""
+
+
+def _op6() -> str:
+    table = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.known().items())
+    rules = license_scan.RULES
+    cut = lambda pattern: f"string_split_regex(coalesce(text, ''), '{pattern}')"
+    sentences = lambda c: f"(select doc_id, s.i, trim(regexp_replace(lower(s.l), '[^a-z0-9]+', ' ', 'g')) s from (select doc_id, unnest({cut(c)}) l, unnest(range(len({cut(c)}))) i from documents) s)"
+    ids = lambda c: f"(select doc_id, list(ident order by i) ids from {sentences(c)} x join known k on k.s = x.s group by doc_id)"
+    plain = " union all ".join(f"select doc_id, '{r.license}' l from q where regexp_matches(seq, '{r.pattern}')" for r in rules if not r.unless)
+    rest = " union all ".join(
+        f"select doc_id, '{r.license}' l from q where regexp_matches(seq, '{r.pattern}') and doc_id not in (select doc_id from raw where l = '{r.unless}')" for r in rules if r.unless
+    )
+    free = ", ".join(f"'{n}'" for k in license_scan.KIND.values() for n in k)
+    copyleft = ", ".join(f"'{n}'" for n in license_scan.KIND["copyleft"])
+    return f"""
+with known as (select * from (values {table}) t(s, ident)), a as {ids(license_scan.LINES)}, b as {ids(license_scan.WRAPPED)},
+q as (select doc_id, case when coalesce(len(a.ids), 0) >= coalesce(len(b.ids), 0) then a.ids else b.ids end ids, ',' || array_to_string(case when coalesce(len(a.ids), 0) >= coalesce(len(b.ids), 0) then a.ids else b.ids end, ',') || ',' seq from a full join b using (doc_id)),
+raw as ({plain}), al as (select distinct * from (select * from raw union all {rest})),
+g as (select doc_id, string_agg(l, ',' order by l) licenses, case when bool_or(l not in ({free})) then 'restricted' when bool_or(l in ({copyleft})) then 'copyleft' else 'permissive' end kind from al group by doc_id)
+select d.doc_id, coalesce(len(ids), 0)::bigint n_sentences, coalesce(array_to_string(ids, ','), '') sentences, coalesce(licenses, '') licenses, coalesce(kind, 'none') kind
+from documents d left join q on q.doc_id = d.doc_id left join g on g.doc_id = d.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {"op1_mixing": OP1, "op5_decontamination": OP5, "op6_license_scan": _op6(), "op8_quality_rules": _op8(), "op9_minhash_near_dedup": OP9}

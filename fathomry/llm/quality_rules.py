@@ -41,7 +41,8 @@ class Measure:
 
 
 MEASURES = {
-    "word_length": Measure("word_chars / nullif(n_words, 0)", 0.5, 6.0, True),
+    # The mean of a few words says little, so shorter texts aren't measured.
+    "word_length": Measure("case when n_words >= 30 then word_chars / n_words end", 0.5, 6.0, True),
     "symbols": Measure("n_symbols / nullif(n_words, 0)", 0.1, 3.0),
     "dup_lines": Measure("n_dup_lines / nullif(n_lines, 0)", 0.35, 3.0),
     "capitals": Measure("n_capitals / nullif(word_chars, 0)", 0.3, 3.0),
@@ -107,7 +108,7 @@ def _group(name: str):
 
 def _bucket(m: Measure) -> str:
     v = f"cast({m.value} as double)"
-    return f"case when coalesce({v}, 0d) < {m.resolution}d then {ZERO}L else cast(ceil(ln({v}) / {math.log(GAMMA)!r}d) as bigint) end"
+    return f"case when {v} is null then null when {v} < {m.resolution}d then {ZERO}L else cast(ceil(ln({v}) / {math.log(GAMMA)!r}d) as bigint) end"
 
 
 def sketches(stats: DataFrame) -> DataFrame:
@@ -116,6 +117,7 @@ def sketches(stats: DataFrame) -> DataFrame:
     return (
         stats.where(~base_failed())
         .select(_group("lang").alias("g_lang"), _group("source").alias("g_source"), F.expr(f"inline(array({cells}))"))
+        .where("bucket is not null")
         .groupBy("g_lang", "g_source", "measure", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )

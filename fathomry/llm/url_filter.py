@@ -5,7 +5,7 @@ fits, the host's labels are split into words by unigram Viterbi (``freecasinobet
 free, casino, bets) with word counts over all pages, and a multinomial naive Bayes scores
 the words of host and path; positive log-odds block.
 
-The word counts cover every page (text and URLs) and are pre-aggregated; the model keeps
+The word counts cover the text of every page and are pre-aggregated; the model keeps
 the ``MAX_WORDS`` most frequent words, ties by word.  The naive Bayes is fitted on labelled
 example URLs, a parameter.  Unknown words don't speak for either class.
 
@@ -39,18 +39,24 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-# Labelled example URLs on which the naive Bayes is fitted by default.
-BLOCKED = """http://onlinecasino.example/win http://luckycasino.example/slots http://freespins.example/offer http://pharmacy-pills.example/buy
-http://cheapmeds.example/pills http://adultcams.example/videos http://xxx-adult.example/cams http://sports-bets.example/poker/bonus
-http://popads.example/click http://adtracker.example/track http://payday-loan.example/apply http://replica-watches.example/cheap
-http://lottery-win.example/prize http://get-rich.example/bonus http://warez-crack.example/keygen http://torrentcrack.example/download
-http://phish-login.example/verify http://viagraonline.example/order http://hot-escort.example/adult http://seo-spam.example/backlinks
-http://spambots.example/ads http://bestbets.example/casino""".split()
-ALLOWED = """http://blog.garden.example/posts http://news.example/world http://www.library.example/books http://university.example/research
-http://wiki.example/article http://docs.python.example/tutorial http://museum.example/history http://school.example/science
-http://recipes.example/kitchen http://weather.example/forecast http://health.example/guide http://city.example/travel
-http://openmusic.example/concerts http://sportsnews.example/football http://photo.example/gallery http://science.example/journal
-http://m.forum.example/topic http://support.example/help http://bookstore.example/authors http://www.hospital.example/contact""".split()
+# Words of the labelled example URLs on which the naive Bayes is fitted by
+# default; words of both lists speak for neither side much.
+BLOCK_WORDS = """casino bets betting poker slots jackpot lottery roulette pills viagra pharmacy meds adult xxx porn escort cams nude loan payday
+credit replica watches warez crack keygen torrent phish spam ads adserver tracker popup clickbait seo backlinks malware scam free cheap win track prize bonus""".split()
+ALLOW_WORDS = """news world garden library books university research wiki article docs tutorial museum history school science recipes kitchen weather
+forecast health guide city travel music concert sports football photo gallery journal forum support help store authors hospital contact free cheap win
+track open free cheap win track story""".split()
+#: Labels in front of a host that say nothing about it.
+SERVICE_LABELS = frozenset(("www", "m", "blog", "mobile", "amp"))
+
+
+def examples(words: list[str]) -> list[str]:
+    """Example URLs in which each word stands twice in a host and once in a path."""
+    n = len(words)
+    return [f"http://{words[k]}-{words[(k + 1) % n]}.example/{words[(k + 2) % n]}" for k in range(n)]
+
+
+BLOCKED, ALLOWED = examples(BLOCK_WORDS), examples(ALLOW_WORDS)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,8 +76,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def word_counts(pages: DataFrame) -> dict[str, int]:
-    """Counts over all pages of the words that the model keeps."""
-    text = F.concat_ws(" ", "url", F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " "))
+    """Counts over the texts of all pages of the words that the model keeps.
+
+    URLs aren't counted: a concatenated name would make itself a word.
+    """
+    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " ")
     word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{2,})"), F.lit(1))).alias("word")
     counts = pages.select(word).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
@@ -112,6 +121,7 @@ def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
     """Words of host (without its last label) and path, marked by where they stand."""
     name = re.sub(r":[0-9]*$", "", host.rpartition("@")[2])
     labels = name.split(".")[:-1] or [name]
+    labels = labels[1:] if len(labels) > 1 and labels[0] in SERVICE_LABELS else labels
     out = [f"host:{w}" for label in labels for piece in re.findall(r"[a-z]+", label) for w in segment(piece)]
     return out + [f"path:{w}" for piece in re.findall(r"[a-z]+", path.lower()) for w in segment(piece)]
 
@@ -147,8 +157,7 @@ def judge(pages: DataFrame, rules=RULES, blocked: list[str] = BLOCKED, allowed:
     counts = Counter(word_counts(pages))
     for url in [*blocked, *allowed]:  # the examples' words are words, however rare they are
         for w in re.findall(r"[a-z]{2,}", " ".join(_example(url))):
-            if len(w) <= 8:
-                counts[w] += 5
+            counts[w] += 5
     segment = Segmenter(dict(counts))
     bayes = Bayes([(tokens(*_example(u), segment), bad) for bad, urls in ((True, blocked), (False, allowed)) for u in urls])
 
