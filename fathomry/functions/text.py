@@ -112,7 +112,7 @@ def ellipsis(text: Column, n: int, mark: str = "…") -> Column:
 
 def age(then: Column, now: Column) -> Column:
     """``5 minutes ago`` and the like; ``unknown age`` for null."""
-    s = F.greatest(F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(then.cast("timestamp"))) / 1000), F.lit(0))
+    s = F.when(then.isNotNull() & now.isNotNull(), F.greatest(F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(then.cast("timestamp"))) / 1000), F.lit(0)))
     out = F.lit("unknown age")
     for size, name in ((1, "second"), (60, "minute"), (3600, "hour"), (86400, "day")):
         n = F.floor(s / size)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..tables import scratch
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -145,6 +146,21 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
 
 
+def ranked_whole(rows: DataFrame, *order: Column) -> DataFrame:
+    """1-based ``rank`` of a list of any length, without one task that sorts it all.
+
+    The rows are dealt out by range and written; then each range counts its own and starts
+    after those before it.  ``order`` must leave no ties.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = scratch(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn("rank", F.col("__own") + F.col("before")).drop("__part", "__own", "before")
+
+
 def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     """(id, score) of rankings (ranking, id, rank): the sum of 1 / (k + rank)."""
     return rankings.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))

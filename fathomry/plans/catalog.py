@@ -18,29 +18,29 @@ from ..functions import text as T
 from ..operators import cluster, dashboards, graph, incremental
 from ..sources import extract, files
 
-SYMBOLS = schemas.StructType.fromDDL(
+SYMBOLS = schemas.ddl(
     """file string, module string, language string, name string, qualified_name string, line int, signature string, type string, is_exported boolean, jsdoc string,
     decorators array<string>, complexity int, is_async boolean, access_modifier string, return_type string,
     parameters array<struct<name: string, type: string, optional: boolean, default_value: string>>, throws array<string>, deprecation_notice string,
     calls array<string>, called_by array<string>"""
 )
-FILES = schemas.StructType.fromDDL(
+FILES = schemas.ddl(
     """path string, module string, language string, content string, content_hash string, purpose string, detailed_purpose string, llm_description string, exports array<string>,
     dependencies array<string>, throws array<string>, patterns array<string>, role string, complexity bigint, test_files array<string>, modified timestamp"""
 )
-FEATURES = schemas.StructType.fromDDL("id string, name string, description string, files array<string>, related_features array<string>")
+FEATURES = schemas.ddl("id string, name string, description string, files array<string>, related_features array<string>")
 TABLES = {
     "symbols": SYMBOLS,
     "files": FILES,
     "imports": schemas.IMPORTS,
-    "sites": schemas.StructType.fromDDL("caller string, file string, name string"),
+    "sites": schemas.ddl("caller string, file string, name string"),
     "module_edges": schemas.MODULE_EDGES,
-    "cycles": schemas.StructType.fromDDL("component string, members array<string>"),
+    "cycles": schemas.ddl("component string, members array<string>"),
     "features": FEATURES,
     "nodes": schemas.NODES,
     "edges": schemas.EDGES,
     "vectors": schemas.VECTORS,
-    "meta": schemas.StructType.fromDDL("generation int, built timestamp, richness string, errors int, root string"),
+    "meta": schemas.ddl("generation int, built timestamp, richness string, errors int, root string"),
 }
 
 

@@ -130,8 +130,8 @@ RRF = """r as (select 0 ranking, o_custkey id, row_number() over (order by sum(o
 @query(f"with {RRF} select id, round(sum(1.0 / (60 + rank)), 9) score from r group by id")
 def rrf_merge(v: Views) -> DataFrame:
     spent = v.table("orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sum("o_totalprice").cast("decimal(18,2)").alias("s"))
-    one = retrieval.ranked(spent, F.desc("s"), F.col("id")).select(F.lit(0).alias("ranking"), "id", "rank")
-    two = retrieval.ranked(v.table("customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), F.desc("c_acctbal"), F.col("id")).select(F.lit(1).alias("ranking"), "id", "rank")
+    one = retrieval.ranked_whole(spent, F.desc("s"), F.col("id")).select(F.lit(0).alias("ranking"), "id", "rank")
+    two = retrieval.ranked_whole(v.table("customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), F.desc("c_acctbal"), F.col("id")).select(F.lit(1).alias("ranking"), "id", "rank")
     return retrieval.fuse(one.unionByName(two)).withColumn("score", F.round("score", 9))
 
 
@@ -186,7 +186,8 @@ def find_symbol_filtered(v: Views) -> DataFrame:
 @query(f"""with {SYMBOLS}, base as (select qualified_name, row_number() over (order by is_exported desc, name, qualified_name) rank from symbols where contains(lower(name), 'ring') order by rank limit 50),
 q as (select embedding e from embeddings order by vec_id limit 1),
 hits as (select qualified_name, row_number() over (order by distance, qualified_name) vrank from (select 'part:' || vec_id qualified_name, {L2.format(a="embedding", b="e")} distance from embeddings, q order by distance, qualified_name limit 100))
-select qualified_name, rank::integer rank from base left join hits using (qualified_name) order by vrank nulls last, rank limit 10""")
+select qualified_name, rank::integer rank from base left join hits using (qualified_name) order by vrank nulls last, rank
+limit (select case when count(*) > 20 then 10 else 50 end from base)""")
 def find_symbol_reranked(v: Views) -> DataFrame:
     e = v.table("embeddings").withColumn("vec_id", F.concat(F.lit("part:"), F.col("vec_id").cast("string")))
     near = retrieval.knn(e, _vector(v), 100).withColumnRenamed("id", "qualified_name")

@@ -108,6 +108,7 @@ def split_parameters(inside: str, name_first: bool = False) -> list[dict]:
         if not p:
             continue
         body, _, default = p.partition("=") if "=>" not in p else (p, "", "")
+        body = body.strip()
         name, colon, kind = body.partition(":")
         if not colon:
             words = body.split(" ")

@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.incremental import last_events, merge
+from ..schemas import ddl
 
-EVENTS = StructType.fromDDL("event_id long, path string, op string, ts timestamp")
+EVENTS = ddl("event_id long, path string, op string, ts timestamp")
 GAP = "500 milliseconds"
 MAX_PENDING = 1000
 
