@@ -10,15 +10,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import render
 from .functions import text as T
 from .operators import artifacts, dashboards, graph, lookup, retrieval, search
-from .plans.catalog import Memory, Store, build
+from .plans.catalog import Memory, Store, build, within
 from .sources import files
 
-# Byte budgets of responses.
-BUDGETS = {"default": 12_000, "overview": 16_000, "search": 12_000, "cap": 32_000}
-
-
 @dataclass
 class Knowledge:
     """A store, read as of its current generation."""
@@ -224,6 +221,26 @@ class Knowledge:
     def get_static_data_schema(self) -> DataFrame:
         return self.t("files").where(T.is_data(F.col("path"))).select("path", "exports", "purpose").orderBy("path")
 
-    def rebuild_knowledge(self, root: str, **options) -> int:
+    def rebuild_knowledge(self, root: str, timeout: float = 600.0, **options) -> int:
+        """A new generation; the build is stopped after ``timeout`` seconds (60 to 1800)."""
+        if not 60 <= timeout <= 1800:
+            raise ValueError("timeout must be from 60 to 1800 seconds")
         self.memory.clear()
-        return build(self.spark, root, self.store, **options)
+        return within(self.spark, timeout, lambda: build(self.spark, root, self.store, **options))
+
+    def footer(self) -> DataFrame:
+        """One row (text): age, richness, files and staleness of the tables."""
+        m = self.t("meta").first()
+        stale = dashboards.is_stale(files.listing(self.spark, m.root).where(files.language_column(F.col("path")).isNotNull()), F.lit(m.built))
+        n = self.t("files").agg(F.count(F.lit(1)).alias("n"))
+        return n.join(F.broadcast(stale)).select(render.footer(F.lit(m.built), F.current_timestamp(), F.lit(m.richness), F.col("n"), F.col("stale")).alias("text"))
+
+    def text_of_symbols(self, name: str, **options) -> str:
+        """find_symbol as text within its byte budget, sections by rank."""
+        found = self.find_symbol(name, **options)
+        rows = render.symbol_line(found).collect()  # at most 50
+        if not rows:
+            near = ", ".join(r.name for r in self.closest_symbols(name).collect())
+            return f"No symbol matches {name!r}." + (f" Close: {near}." if near else "")
+        sections = [render.Section("", r.text, 1 + k // 10) for k, r in enumerate(rows)]
+        return render.respond([*sections, render.Section("", self.footer().first().text, render.FOOTER)], "find_symbol")

@@ -120,6 +120,33 @@ def retried(f: Callable, attempts: int = 3, wait: float = 1.0, sleep: Callable[[
             sleep(wait * 2**k)
 
 
+def within(spark: SparkSession, seconds: float, f: Callable):
+    """f(), whose Spark jobs are stopped after a time; then TimeoutError."""
+    import threading
+    import uuid
+
+    group, late, done, sc = f"build-{uuid.uuid4().hex}", threading.Event(), threading.Event(), spark.sparkContext
+
+    def stop() -> None:
+        if done.wait(seconds):
+            return
+        late.set()
+        while not done.wait(0.5):  # also stops jobs that begin afterwards
+            sc.cancelJobGroup(group)
+
+    sc.setJobGroup(group, "build", True)
+    threading.Thread(target=stop, daemon=True).start()
+    try:
+        return f()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"stopped after {seconds:g} seconds") from e
+        raise
+    finally:
+        done.set()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 def tables_of(spark: SparkSession, sources: DataFrame, extracted: DataFrame, roots: list[str] | None = None, project: str = "project", vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """All knowledge tables of sources (path, content, language, modified) and what was read from them."""
     raw = extract.symbols_of(extracted)

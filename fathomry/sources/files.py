@@ -122,6 +122,30 @@ def go_module(spark: SparkSession, root: str) -> str:
     return found[0].m if found else ""
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """moduleRoots, richness and exclude of a JSON config; defaults where it is absent or broken."""
+    schema = StructType.fromDDL("moduleRoots array<string>, richness string, exclude array<string>")
+    rows = read_json(spark, path, schema).limit(1).collect()
+    found = rows[0] if rows else None
+    rich = found.richness if found and found.richness in ("minimal", "standard", "rich") else "standard"
+    return {"roots": list(found.moduleRoots or []) if found else [], "richness": rich, "exclude": list(found.exclude or []) if found else []}
+
+
+def project_name(manifests: DataFrame, root: str) -> DataFrame:
+    """(name, main) that manifests (content) give; else the root's last segment and null."""
+    one = manifests.agg(F.max(F.get_json_object("content", "$.name")).alias("n"), F.max(F.get_json_object("content", "$.main")).alias("main"))
+    return one.select(F.coalesce(F.nullif("n", F.lit("")), F.lit(root.rstrip("/").rsplit("/", 1)[-1])).alias("name"), "main")
+
+
+def safe_path(root: str, path: str) -> str | None:
+    """A local path below the root, links followed; null if it leads outside."""
+    import os
+
+    base = os.path.realpath(root)
+    full = os.path.realpath(os.path.join(base, path))
+    return full if full == base or full.startswith(base + os.sep) else None
+
+
 def import_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) as other tools write a graph: nodes, and edges or links or relationships."""
     node = "array<struct<id: string, name: string, label: string, type: string, path: string>>"
@@ -132,4 +156,4 @@ def import_graph(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-__all__ = ["file_tree", "go_module", "import_graph", "language_column", "language_of", "listing", "project_kind", "project_languages", "read_json", "read_sources", "read_table", "source_globs", "tech_stack"]
+__all__ = ["file_tree", "go_module", "import_graph", "language_column", "language_of", "listing", "project_kind", "project_languages", "project_name", "read_config", "read_json", "read_sources", "read_table", "safe_path", "source_globs", "tech_stack"]
