@@ -13,7 +13,7 @@ STOPWORDS = (
 
 def terms(text: Column) -> Column:
     """Search terms: camel case, ``_ . / -`` and all but ASCII letters and digits separate; repeats stay."""
-    apart = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), r"[_./\-]", " ")
+    apart = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
     return F.filter(F.split(F.lower(apart), "[^a-z0-9]+"), lambda t: t != "")
 
 

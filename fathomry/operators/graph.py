@@ -55,7 +55,7 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int, direction: str = "o
 
     With a limit, the first by depth, then name.
     """
-    step = directed(edges, direction).distinct()
+    step = directed(edges, direction)
     seen = scratch(starts.select("node").distinct().withColumn("depth", F.lit(0)), "bfs-0")
     frontier = seen
     for depth in range(1, max_depth + 1):

@@ -30,7 +30,7 @@ class Bm25Index:
 
 def index_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
     """docs: one row per id; rows without any term count as documents of length 0."""
-    cut = docs.select(F.col(doc_id).alias("doc_id"), T.terms(F.coalesce(text, F.lit(""))).alias("terms"))
+    cut = scratch(docs.select(F.col(doc_id).alias("doc_id"), T.terms(F.coalesce(text, F.lit(""))).alias("terms")), "bm25-terms")
     postings = cut.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     return Bm25Index(postings, cut.select("doc_id", F.size("terms").cast("long").alias("len")))
 
@@ -45,13 +45,15 @@ def replace_documents(index: Bm25Index, docs: DataFrame, doc_id: str = "doc_id",
 def bm25(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score), best first, ties by id, straight from texts.
 
-    One pass: each row counts the query's terms in its own term array, so nothing is exploded
-    and only the top k and three sums leave the tasks.  Terms repeated in the query count twice.
+    One pass over the texts: each row counts the query's terms in its own term array, so nothing
+    is exploded or shuffled.  The narrow counts are written, since both the sums and the scores
+    need them (and a filter on them would else be pushed below the tokenizer, which would run
+    once a term).  Terms repeated in the query count twice.
     """
     wanted = query_terms(docs, query)
     if not wanted:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    counts = term_counts(docs, list(wanted), doc_id, text)
+    counts = scratch(term_counts(docs, list(wanted), doc_id, text), "bm25-counts")
     sums = corpus_sums(counts, list(wanted))
     scored = counts.where(any_of(f"t{i} > 0" for i in range(len(wanted)))).join(F.broadcast(sums))  # one row
     parts = [weight(F.col(f"t{i}"), F.col(f"df{i}")) * n for i, n in enumerate(wanted.values())]

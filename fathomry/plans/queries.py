@@ -74,6 +74,7 @@ def bm25_topk(v: Views) -> DataFrame:
 @query(f"with {BM25} select doc_id, round(score, 6) score from bm order by bm.score desc, doc_id limit 20")
 def bm25_indexed_topk(v: Views) -> DataFrame:
     index = retrieval.index_documents(v.table("documents"))
+    index.postings = graph.scratch(index.postings, "postings")
     return retrieval.bm25_indexed(index, BM25_QUERY, 20).withColumn("score", F.round("score", 6))
 
 
