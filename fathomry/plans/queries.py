@@ -409,7 +409,11 @@ def summary_text_search(v: Views) -> DataFrame:
     return found.select(F.col("place").alias("path"), F.substring("snippet", 1, 80).alias("head"), F.length("snippet").cast("long").alias("n"))
 
 
-@query()
+@query("""with recursive s as (select conv_id, turn ord, strlen(text) bytes, row_number() over (partition by conv_id order by role <> 'user', turn) rn from conversations),
+r as (select distinct conv_id, 0::bigint rn, 0::bigint used, []::bigint[] taken from conversations union all
+  select s.conv_id, s.rn, case when used + bytes <= 4000 then used + bytes else used end, case when used + bytes <= 4000 then list_append(taken, ord) else taken end
+  from r join s on s.conv_id = r.conv_id and s.rn = r.rn + 1)
+select conv_id, array_to_string(list_sort(max_by(taken, rn)), ',') taken from r group by conv_id""")
 def response_budget(v: Views) -> DataFrame:
     sections = v.table("conversations").groupBy("conv_id").agg(
         F.collect_list(F.struct(F.when(F.col("role") == "user", 1).otherwise(2).alias("priority"), F.col("turn").cast("int").alias("ord"), F.octet_length("text").alias("bytes"))).alias("s")
@@ -601,3 +605,168 @@ def summary_misses(v: Views) -> DataFrame:
     memo = v.files.join(v.table("labels").select("doc_id"), "doc_id", "left_semi")
     return incremental.misses(v.files, memo).select("path")
 
+
+
+# --- more of each kind ------------------------------------------------------------------------
+
+
+@query(f"""with {FILES}, p as (select path, case when length(purpose) % 2 = 0 then './' || path else '/' || path end raw from files)
+select path, regexp_replace(raw, '^(\\./|/)+', '') normal, case when starts_with(raw, '/src0/') then substring(raw, 7) when starts_with(raw, '/') then '(external)' else raw end rel from p""")
+def normal_paths(v: Views) -> DataFrame:
+    p = v.files.select("path", F.when(F.length("purpose") % 2 == 0, F.concat(F.lit("./"), "path")).otherwise(F.concat(F.lit("/"), "path")).alias("raw"))
+    return p.select("path", T.normal_path(F.col("raw")).alias("normal"), T.relative(F.col("raw"), "/src0").alias("rel"))
+
+
+@query(f"""with {FILES} select path, case when regexp_matches(path, '^src1[^/]*/[^/]+/') and starts_with(path, 'src1/') then regexp_extract(path, '^(src1/[^/]+)/', 1)
+when starts_with(path, 'src2/') then 'src2' else split_part(path, '/', 1) end module from files""")
+def configured_modules(v: Views) -> DataFrame:
+    return v.files.select("path", T.module_name(F.col("path"), ["src1/*", "src2"], "project").alias("module"))
+
+
+@query("""select doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\x0b\\f\\r/\\-_]+'),
+lambda t: t <> '' and not list_contains(['a', 'an', 'the', 'is', 'are', 'for', 'to', 'of', 'in', 'on', 'with', 'and', 'or', 'that', 'this', 'it', 'as', 'at', 'by', 'from', 'be', 'was', 'has', 'have',
+  'do', 'does', 'did', 'will', 'would', 'could', 'should', 'page', 'file'], t)))), ' ') terms from documents""")
+def template_terms(v: Views) -> DataFrame:
+    d = v.table("documents")
+    return d.select("doc_id", F.array_join(F.array_sort(T.template_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query("""with n as (select page_id, regexp_replace(regexp_replace(url, '^[^:]*://[^/]*/', ''), '[?#].*$', '') p from pages),
+e as (select distinct p from n where p <> ''), lv as (select string_split(p, '/') s, unnest(range(1, least(len(string_split(p, '/')), 2) + 1)) k from e)
+select array_to_string(s[1:k - 1], '/') parent, s[k] as "name", bool_or(k < len(s)) is_dir from lv group by 1, 2""")
+def file_tree(v: Views) -> DataFrame:
+    from ..sources.files import file_tree as tree
+
+    p = F.regexp_replace(F.regexp_replace("url", "^[^:]*://[^/]*/", ""), "[?#].*$", "")
+    return tree(v.table("pages").select(p.alias("path")).where("path != ''").distinct(), 2)
+
+
+@query("""with e as (select user_id, event_type, value from events) select 'user:' || user_id file, array_to_string(list_sort(list_distinct(list(event_type))), ',') throws from e group by user_id""")
+def distinct_throws(v: Views) -> DataFrame:
+    rows = v.table("events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("file"), F.array("event_type").alias("throws"))
+    return dashboards.distinct_throws(rows).select("file", F.array_join("throws", ",").alias("throws"))
+
+
+@query(f"with {SYMBOLS} select file, count(*) n, sha256(string_agg(name || ':' || type, ',' order by line, name)) digest from symbols where is_exported group by file")
+def public_api(v: Views) -> DataFrame:
+    rows = v.symbols.withColumns({"signature": F.col("name"), "jsdoc": F.lit(None).cast("string")})
+    api = dashboards.public_api(rows)
+    listed = F.array_join(F.transform("public_api", lambda x: F.concat(x["name"], F.lit(":"), x["type"])), ",")
+    return api.select("file", F.size("exports").cast("long").alias("n"), F.sha2(listed, 256).alias("digest"))
+
+
+@query("""select o_orderkey, o_custkey::double files, floor(o_totalprice) symbols from orders""")
+def build_log_stats(v: Views) -> DataFrame:
+    log = F.concat(F.lit("Indexed "), F.col("o_custkey").cast("string"), F.lit(" files, "), F.floor("o_totalprice").cast("string"), F.lit(" symbols"))
+    return dashboards.log_stats(v.table("orders").select("o_orderkey", log.alias("log"))).select("o_orderkey", "files", "symbols")
+
+
+@query(f"with {LINKS}, m as (select unnest(['/zzz', '/the', '/and']) m, unnest([1, 2, 3]) o) select (select m from m where exists (select 1 from links where contains(lower(dep), m)) order by o limit 1) found")
+def detected_marker(v: Views) -> DataFrame:
+    return dashboards.detected(v.links.select("dep"), ("/zzz", "/the", "/and"))
+
+
+@query("""with t as (select distinct p_name || '.test.ts' test, p_name || '.ts' source from part where p_size > 25), u as (select distinct p_name || '.ts' source from part where p_size <= 40)
+select t.source, t.test from t join u using (source)""")
+def test_mapping(v: Views) -> DataFrame:
+    p = v.table("part")
+    names = p.where("p_size > 25").select(F.concat("p_name", F.lit(".test.ts")).alias("path")).union(p.where("p_size <= 40").select(F.concat("p_name", F.lit(".ts")))).distinct()
+    return incremental.symbol_tests(names, v.spark.createDataFrame([], "file string, dep string, is_dynamic boolean"))
+
+
+@query(f"""with {SYMBOLS}, sites as (select distinct 'order:' || l_orderkey caller, p_brand || '/' || replace(p_name, ' ', '-') || '.ts' file, p_name name from lineitem join part on l_partkey = p_partkey),
+c as (select sites.caller, sites.file, sites.name, qualified_name callee, symbols.file = sites.file same from sites join symbols using (name)),
+k as (select *, max(same::integer) over (partition by caller, file, name) anysame from c)
+select caller, count(distinct callee) n, sha256(string_agg(distinct callee, ',' order by callee)) digest from k where same or anysame = 0 group by caller""")
+def resolved_calls(v: Views) -> DataFrame:
+    sym = v.symbols
+    items = v.table("lineitem").select(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("caller"), F.col("l_partkey").cast("int").alias("line"))
+    sites = items.join(sym.select("line", "file", "name"), "line").select("caller", "file", "name")
+    found = graph.resolve_calls(sites, sym)
+    return found.groupBy("caller").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("callee")), ","), 256).alias("digest"))
+
+
+@query(f"""with {BM25}, k as (select doc_id from labels where toxic = 1), n as (select doc_id, {TERMS.format(x="'the ' || lang || ' replaced'")} t from documents join k using (doc_id)),
+x as (select doc_id, t from d where doc_id not in (select doc_id from k) union all select * from n),
+p as (select doc_id, unnest(t) term from x) select term, count(distinct doc_id) df from p group by term""")
+def replaced_documents(v: Views) -> DataFrame:
+    docs = v.table("documents")
+    new = docs.join(v.table("labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.concat(F.lit("the "), "lang", F.lit(" replaced")).alias("text"))
+    index = retrieval.replace_documents(retrieval.index_documents(docs), new)
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"""with {SYMBOLS}, {FILES}, d as (select 'file:' || path doc_id, trim(purpose || ' ' || path || ' ') t from files union all select 'symbol:' || qualified_name, name from symbols
+union all select 'feature:' || r_regionkey, r_name || ' region of ' || r_name from region) select doc_id, sha256(trim(t)) digest from d where trim(t) <> ''""")
+def knowledge_documents(v: Views) -> DataFrame:
+    none = F.lit(None).cast("string")
+    f = v.files.withColumns({"detailed_purpose": none, "exports": F.array().cast("array<string>")})
+    s = v.symbols.withColumns({"signature": none, "jsdoc": F.lit("")})
+    g = v.table("region").select(F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("region of "), "r_name").alias("description"))
+    return retrieval.knowledge_documents(f, s, g).select("doc_id", F.sha2(F.trim("text"), 256).alias("digest"))
+
+
+@query("""select time_bucket(interval 1 day, ts, timestamp '1970-01-01') "start", time_bucket(interval 1 day, ts, timestamp '1970-01-01') + interval 1 day "end", event_type op, count(*) n from events group by all""")
+def tumbling_counts(v: Views) -> DataFrame:
+    from ..streaming.changes import windowed_counts
+
+    return windowed_counts(v.table("events").withColumn("op", F.col("event_type")), "1 day")
+
+
+@query("""with w as (select event_type op, unnest([time_bucket(interval 12 hour, ts, timestamp '1970-01-01'), time_bucket(interval 12 hour, ts, timestamp '1970-01-01') - interval 12 hour]) s from events)
+select s "start", s + interval 24 hour "end", op, count(*) n from w group by all""")
+def sliding_counts(v: Views) -> DataFrame:
+    from ..streaming.changes import windowed_counts
+
+    return windowed_counts(v.table("events").withColumn("op", F.col("event_type")), "24 hours", "12 hours")
+
+
+@query(f"""with recursive {CONTAINS}, und as (select src, dst from edges union select dst, src from edges),
+w as (select 'nation:3' node, 0 depth union select b.dst, depth + 1 from w join und b on b.src = w.node where depth < 2), m as (select node, min(depth)::integer depth from w group by node)
+select depth, split_part(node, ':', 1) type, count(*) n, sha256(string_agg(node, ',' order by node)) ids from m group by 1, 2""")
+def traversal_by_depth(v: Views) -> DataFrame:
+    near = graph.bfs(v.contains, v.spark.createDataFrame([("nation:3",)], "node string"), 2, "both")
+    rows = graph.by_depth(near.select(F.col("node").alias("id"), F.substring_index("node", ":", 1).alias("type"), "depth"))
+    return rows.select("depth", "type", "n", F.sha2(F.array_join("ids", ","), 256).alias("ids"))
+
+
+@query("""with r as (select event_id, case event_type when 'click' then 'calls' when 'view' then 'imports' when 'purchase' then 'contains' when 'error' then 'depends_on' else 'similar_to' end type from events)
+select event_id, type from r""")
+def relation_kinds(v: Views) -> DataFrame:
+    e = F.col("event_type")
+    name = F.when(e == "click", "Invokes").when(e == "view", "requires").when(e == "purchase", "has").when(e == "error", "dependency").otherwise(e)
+    return v.table("events").select("event_id", graph.edge_kind(name).alias("type"))
+
+
+@query("""with a as (select o_orderkey id, o_orderstatus s, o_orderpriority p from orders)
+select id, s = 'F' valid, case s when 'F' then '' when 'O' then 'missing summary' else 'unknown verdict' end errors, case when p = '5-LOW' then 'extra' else '' end warnings from a""")
+def review_drafts(v: Views) -> DataFrame:
+    o = v.table("orders")
+    verdict = F.when(F.col("o_orderstatus") == "P", "maybe").otherwise("pass")
+    fields = [F.concat(F.lit('"verdict": "'), verdict, F.lit('"')), F.when(F.col("o_orderstatus") != "O", F.lit('"summary": "fine"')), F.when(F.col("o_orderpriority") == "5-LOW", F.lit('"extra": [1]'))]
+    drafts = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")).alias("json"))
+    rows = artifacts.validate(drafts, "review")
+    return rows.select("id", "valid", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(r"""with l as (select 'src/' || p_partkey || '.ts' path, p_name n, p_size s from part)
+select path, 'make' || replace(n, ' ', '') as "name", 'function' type, 2::integer line, s > 25 is_exported, s > 40 is_async from l""")
+def regex_symbols(v: Views) -> DataFrame:
+    from ..sources.extract import regex_symbols as read
+
+    p = v.table("part")
+    head = F.concat(F.when(F.col("p_size") > 25, "export ").otherwise(""), F.when(F.col("p_size") > 40, "async ").otherwise(""))
+    text = F.concat(F.lit("// made\n"), head, F.lit("function make"), F.regexp_replace("p_name", " ", ""), F.lit("(n) {\n  return n;\n}\n"))
+    return read(p.select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("path"), text.alias("content")))
+
+
+@query("""select 'src/' || p_partkey || '.py::' || replace(p_name, ' ', '_') qualified_name, 'function' type, 1::integer line, (case when p_size > 25 then 2 else 1 end)::integer complexity, 'helper' callee from part""")
+def extracted_python(v: Views) -> DataFrame:
+    from ..sources import extract
+
+    p = v.table("part")
+    body = F.when(F.col("p_size") > 25, "    if n:\n        return helper(n)\n").otherwise("    return helper(n)\n")
+    text = F.concat(F.lit("def "), F.regexp_replace("p_name", " ", "_"), F.lit("(n):\n"), body)
+    read = graph.scratch(extract.extract(p.select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))), "extracted")
+    sites = extract.sites_of(read).select(F.col("caller").alias("qualified_name"), F.col("name").alias("callee"))
+    return extract.symbols_of(read).join(sites, "qualified_name").select("qualified_name", "type", "line", "complexity", "callee")
