@@ -6,7 +6,7 @@ free, casino, bets) with word counts over all pages, and a multinomial naive Bay
 the words of host and path; positive log-odds block.
 
 The word counts cover the text of every page and are pre-aggregated; the model keeps
-the ``MAX_WORDS`` most frequent words, ties by word.  The naive Bayes is fitted on labelled
+the most frequent words, ``MAX_WORDS`` at most.  The naive Bayes is fitted on labelled
 example URLs, a parameter.  Unknown words don't speak for either class.
 
 Null URLs and those without ``://`` have an empty host and path, fit no rule, and are
@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import most_frequent, scratch
+
 MAX_WORDS = 50_000
 LONGEST = 20
 MEMO = 100_000
@@ -82,8 +84,8 @@ def word_counts(pages: DataFrame) -> dict[str, int]:
     """
     text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " ")
     word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{2,})"), F.lit(1))).alias("word")
-    counts = pages.select(word).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
+    counts = scratch(pages.select(word).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "url-words")
+    return {r.word: r.n for r in most_frequent(counts, MAX_WORDS).collect()}
 
 
 class Segmenter:

@@ -377,3 +377,12 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.source, r["pass"], r.n_tokens, r.weight, r.block, r.slot) for r in got) == sorted(brute_mix(clean))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_most_frequent(spark):
+    from fathomry.llm.common import most_frequent
+
+    rows = spark.createDataFrame([(f"w{k}", n) for k, n in enumerate([900, 500, 9, 3, 3, 3, 1, 1])], "word string, n long")
+    kept = lambda k: sorted(r.n for r in most_frequent(rows, k).collect())
+    assert kept(8) == [1, 1, 3, 3, 3, 9, 500, 900] and kept(7) == kept(6) == [3, 3, 3, 9, 500, 900] and kept(5) == [9, 500, 900] and kept(0) == []
+    assert most_frequent(rows.where("1 = 0"), 3).count() == 0
