@@ -10,9 +10,9 @@ All of it comes from all documents: every token is counted (partial counts by ta
 after the shuffle), and every task trains the network in numpy on all of its tokens from a
 common start; the parameters are then averaged, weighted by tokens.  What is gathered grows
 with the input, by tasks; only the model itself, of fixed size, reaches the driver:
-``KNOWN`` words with their counts, 48 class totals and some 130,000 parameters.
+the most frequent words (``KNOWN`` at most) with their counts, 48 class totals and some 130,000 parameters.
 
-Words beyond the ``KNOWN`` most frequent share their class's remaining probability evenly.
+Other words share their class's remaining probability evenly.
 Null, empty and blank texts have no tokens: the sum is 0 and the mean null.  Whole texts are
 scored; repeated rows are scored alike; an empty table gives an empty result; other columns
 are ignored.
@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import most_frequent, scratch
+
 KNOWN = 20_000
 #: Classes of the most frequent words, one each, and of all others, by their ending.
 OWN, SHARED = 48, 48
@@ -246,10 +248,8 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Network:
 
 
 def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
-    from .common import scratch
-
     counts = scratch(count_words(docs), "lm-counts")
-    top = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(known).select("word", "n").collect()]
+    top = sorted(((bytes(r.word), r.n) for r in most_frequent(counts, known).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
     totals = {r.ending: (r.t, r.c) for r in counts.groupBy("ending").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).collect()}
     lexicon = Lexicon.of(top, totals)
     return lexicon, train(docs, lexicon)
