@@ -43,8 +43,10 @@ ROWS = ROWS_OWN + ROWS_SHARED + 1
 PAD = ROWS - 1
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH = 4096
+BATCH = 8192
 RATE = 0.15
+#: Bound on output weights; 16 of them times tanh keep scores below 50.
+LARGEST = 3.0
 #: Words that a worker remembers, and distinct words it counts before it hands them on.
 MEMO, FLUSH = 100_000, 200_000
 
@@ -159,16 +161,22 @@ class Network:
         v = v.astype(np.float32)
         return Network(v[:n].reshape(len(OFFSETS), ROWS, WIDTH), v[n : n + m].reshape(WIDTH, CLASSES), v[n + m :])
 
-    def log_probabilities(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and class log-probabilities for rows of context (n, positions)."""
+    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden values and class scores for rows of context (n, positions)."""
         z = self.e[0][around[:, 0]]
         for k in range(1, len(OFFSETS)):
-            z = z + self.e[k][around[:, k]]
-        h = np.tanh(z)
-        y = h @ self.w + self.b
-        y -= y.max(axis=1, keepdims=True)
-        y -= np.log(np.exp(y).sum(axis=1, keepdims=True))
-        return h, y
+            z += self.e[k][around[:, k]]
+        np.tanh(z, out=z)
+        y = z @ self.w
+        y += self.b
+        return z, y
+
+    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of each target class; scores are bounded (``LARGEST``), so exp doesn't overflow."""
+        _, y = self.logits(around)
+        own = y[np.arange(len(target)), target]
+        np.exp(y, out=y)
+        return own - np.log(y.sum(axis=1))
 
 
 class Trainer:
@@ -181,19 +189,27 @@ class Trainer:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         net, n = self.net, len(target)
-        h, y = net.log_probabilities(around)
-        d = np.exp(y)
+        h, d = net.logits(around)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
         d[np.arange(n), target] -= 1
         d /= n
         gh = (d @ net.w.T) * (1 - h * h)
         for p, g, total in ((net.w, h.T @ d, self.gw), (net.b, d.sum(axis=0), self.gb)):
             total += g * g
             p -= RATE * g / np.sqrt(total)
+        np.clip(net.w, -LARGEST, LARGEST, out=net.w)
+        parts = np.ascontiguousarray(gh.T, dtype=float)
+        g = np.empty((len(OFFSETS), WIDTH, ROWS), np.float32)
         for k in range(len(OFFSETS)):
-            ids = around[:, k]
-            g = np.stack([np.bincount(ids, gh[:, j], ROWS) for j in range(WIDTH)], axis=1).astype(np.float32)
-            self.ge[k] += g * g
-            net.e[k] -= RATE * g / np.sqrt(self.ge[k])
+            ids = np.ascontiguousarray(around[:, k], dtype=np.intp)
+            for j in range(WIDTH):
+                g[k, j] = np.bincount(ids, parts[j], ROWS)
+        g = g.transpose(0, 2, 1)
+        self.ge += g * g
+        g *= RATE
+        g /= np.sqrt(self.ge)
+        net.e -= g
         self.seen += n
 
 
@@ -201,6 +217,7 @@ def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarra
     """By some texts at a time: context rows, classes and in-class log-probabilities of all tokens, and tokens by text."""
     held: list[np.ndarray] = []
     sizes: list[int] = []
+    held_tokens = 0
 
     def out():
         rows = np.full(sum(sizes) + 2 * len(sizes) + 2, PAD, np.int32)
@@ -218,9 +235,10 @@ def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarra
         words = tokens(t)
         held.append(np.fromiter(map(coder.__getitem__, words), np.int64, len(words)))
         sizes.append(len(words))
-        if sum(sizes) >= 20 * BATCH:
+        held_tokens += len(words)
+        if held_tokens >= 10 * BATCH:
             yield out()
-            held, sizes = [], []
+            held, sizes, held_tokens = [], [], 0
     if sizes:
         yield out()
 
@@ -258,7 +276,8 @@ def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
 def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[list[int], list[float]]:
     sizes, sums = [], []
     for around, cls, logp, part in contexts(texts, lexicon, coder):
-        each = np.concatenate([logp[:0]] + [net.log_probabilities(around[k : k + BATCH])[1][np.arange(len(cls[k : k + BATCH])), cls[k : k + BATCH]] + logp[k : k + BATCH] for k in range(0, len(cls), BATCH)])
+        cuts = range(0, len(cls), BATCH)
+        each = np.concatenate([logp[:0], *(net.log_probability(around[k : k + BATCH], cls[k : k + BATCH]) + logp[k : k + BATCH] for k in cuts)])
         total = np.concatenate([[0.0], np.cumsum(each)])
         ends = np.cumsum(part)
         sums += (total[ends] - total[ends - part]).tolist()
