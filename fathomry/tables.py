@@ -50,3 +50,15 @@ def small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFram
     Beyond the limit Spark joins by shuffle and AQE splits skewed partitions.
     """
     return F.broadcast(df) if rows <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to all executors, once a session; not needed where it is installed there."""
+    import shutil
+    from pathlib import Path
+
+    if not getattr(spark.sparkContext, "_fathomry_shipped", False):
+        home = Path(__file__).resolve().parent
+        path = shutil.make_archive(f"{tempfile.mkdtemp()}/fathomry", "zip", home.parent, home.name)
+        spark.sparkContext.addPyFile(path)
+        spark.sparkContext._fathomry_shipped = True

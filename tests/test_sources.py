@@ -157,6 +157,15 @@ def test_knowledge(spark, project, tmp_path):
     assert "file:src/pay/pay.ts" in {r.id for r in k.semantic_search("charge").collect()}
     assert k.semantic_search("charge") is k.semantic_search("charge") and k.memory.hits >= 1
     assert k.health_check().first().gaps == 0
+    text = k.text_of_symbols("order")
+    assert "Name: OrderService" in text and "Staleness: fresh" in text and k.text_of_symbols("chrage").startswith("No symbol matches")
+    assert {r.path for r in k.get_batch_summaries(["pay", "store.py"]).collect()} == {"src/pay/pay.ts", "py/store.py"}
+    assert k.get_module_context("src")["files"].count() == 5 and k.get_code_patterns()["structure"].first().classes == 4
+    context = k.get_implementation_context("pay.ts")
+    assert {r.file for r in context["imported_by"].collect()} == {"src/orders/order.ts", "src/notify/notify.ts", "src/pay/pay.test.ts"}
+    assert "charge" in context["snippets"].first().snippet and k.search_architecture("pay module").first().source == 1
+    assert [r.key for r in k.get_artifact_schema("tasks").collect()] == ["tasks"] and not k.validate_artifact_draft("tasks", "{}").first().valid
+    assert k.get_cumulative_context("prd", str(tmp_path)).count() == 0 and k.get_directory_tree("src", 1).count() == 3
     before = [tuple(r) for r in k.t("symbols").orderBy("qualified_name").collect()]
     (project / "src/pay/pay.ts").write_text("export function refund(n: number): number {\n  return n;\n}\n")
     assert k.rebuild_knowledge(str(project), is_incremental=True) == 2
