@@ -9,10 +9,11 @@ class, from counts.
 All of it comes from all documents: every token is counted (partial counts by task, summed
 after the shuffle), and every task trains the network in numpy on all of its tokens from a
 common start; the parameters are then averaged, weighted by tokens.  What is gathered grows
-with the input, by tasks; only the model itself, of fixed size, reaches the driver:
+with the input, by tasks; only the network and its coder, of fixed size, reach the driver:
 the most frequent words (``KNOWN`` at most) with their counts, 48 class totals and some 130,000 parameters.
 
-Other words share their class's remaining probability evenly.
+Every word keeps its count: those beyond ``KNOWN`` are joined, by document, to the written
+counts of all words, so ``KNOWN`` bounds what a worker holds and not what a score rests on.
 Null, empty and blank texts have no tokens: the sum is 0 and the mean null.  Whole texts are
 scored; repeated rows are scored alike; an empty table gives an empty result; other columns
 are ignored.
@@ -24,7 +25,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -92,6 +93,7 @@ class Lexicon:
     cls: np.ndarray
     logp: np.ndarray
     prior: np.ndarray
+    whole: np.ndarray  # by ending: tokens of its class, and one unseen
 
     @staticmethod
     def of(top: list[tuple[bytes, int]], totals: dict[int, tuple[int, int]]) -> Lexicon:
@@ -120,7 +122,13 @@ class Lexicon:
         for k, (_, n) in enumerate(top[:OWN]):
             counts[k] += n
         counts[OWN:] += np.maximum(mass, 0)
-        return Lexicon({w: k for k, (w, _) in enumerate(top)}, row, cls, logp, np.log(counts / counts.sum()))
+        return Lexicon({w: k for k, (w, _) in enumerate(top)}, row, cls, logp, np.log(counts / counts.sum()), whole)
+
+    def without_other_counts(self) -> Lexicon:
+        """With words that have no code of their own as if counted once; the logarithm of their count is to be added."""
+        logp = self.logp.copy()
+        logp[len(self.known) :] = -np.log(self.whole)[np.arange(ROWS_SHARED * SHARED) % SHARED]
+        return replace(self, logp=logp)
 
     def coder(self) -> _Coder:
         return _Coder(self.known)
@@ -265,11 +273,14 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Network:
     return Network.unflat(v)
 
 
-def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
-    counts = scratch(count_words(docs), "lm-counts")
+def lexicon_of(counts: DataFrame, known: int) -> Lexicon:
     top = sorted(((bytes(r.word), r.n) for r in most_frequent(counts, known).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
     totals = {r.ending: (r.t, r.c) for r in counts.groupBy("ending").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).collect()}
-    lexicon = Lexicon.of(top, totals)
+    return Lexicon.of(top, totals)
+
+
+def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
+    lexicon = lexicon_of(scratch(count_words(docs), "lm-counts"), known)
     return lexicon, train(docs, lexicon)
 
 
@@ -285,16 +296,26 @@ def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[l
     return sizes, sums
 
 
-def pseudo_likelihood(docs: DataFrame) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, n_tokens, pll, mean_pll."""
-    lexicon, net = fit(docs)
+    counts = scratch(count_words(docs), "lm-counts")
+    lexicon = lexicon_of(counts, known)
+    net = train(docs, lexicon)
+    bare = lexicon.without_other_counts()
     kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = lexicon.coder()
+        coder = bare.coder()
         for b in batches:
-            n, s = score_texts(b["text"], lexicon, net, coder)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "pll": s})
-
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, n_tokens long, pll double")
-    return scored.select("doc_id", "n_tokens", F.round("pll", 4).alias("pll"), F.round(F.try_divide("pll", "n_tokens"), 6).alias("mean_pll"))
+            n, s = score_texts(b["text"], bare, net, coder)
+            other = [Counter(w for w in tokens(t) if w not in bare.known) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "part": s, "words": [list(c) for c in other], "times": [list(c.values()) for c in other]})
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    scored = rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, part double, words array<binary>, times array<int>")
+    scored = scratch(scored.withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
+    other = scored.select("__row", F.explode(F.arrays_zip("words", "times")).alias("o")).select("__row", F.col("o.words").alias("word"), F.col("o.times").alias("times"))
+    added = other.join(counts.select("word", "n"), "word").groupBy("__row").agg(F.sum(F.col("times") * F.log("n")).alias("added"))
+    pll = F.col("part") + F.coalesce("added", F.lit(0.0))
+    whole = scored.select("__row", "doc_id", "n_tokens", "part").join(added, "__row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    return whole.select("doc_id", "n_tokens", F.round("pll", 4).alias("pll"), F.round(F.try_divide("pll", "n_tokens"), 6).alias("mean_pll"))
