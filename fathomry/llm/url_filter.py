@@ -5,8 +5,9 @@ fits, the host's labels are split into words by unigram Viterbi (``freecasinobet
 free, casino, bets) with word counts over all pages, and a multinomial naive Bayes scores
 the words of host and path; positive log-odds block.
 
-The word counts cover the text of every page and are pre-aggregated; the model keeps
-the most frequent words, ``MAX_WORDS`` at most.  The naive Bayes is fitted on labelled
+The word counts cover the text of every page, are pre-aggregated and stay a written table:
+the substrings of the distinct pieces of hosts and paths are joined to it, so that each piece
+is split with the counts of all words it may hold.  The naive Bayes is fitted on labelled
 example URLs, a parameter.  Unknown words don't speak for either class.
 
 Null URLs and those without ``://`` have an empty host and path, fit no rule, and are
@@ -20,15 +21,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent, scratch
+from .common import scratch, small
 
-MAX_WORDS = 50_000
 LONGEST = 20
 MEMO = 100_000
 
@@ -77,22 +76,22 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def word_counts(pages: DataFrame) -> dict[str, int]:
-    """Counts over the texts of all pages of the words that the model keeps.
+def word_counts(pages: DataFrame) -> DataFrame:
+    """(word, n) over the texts of all pages.
 
     URLs aren't counted: a concatenated name would make itself a word.
     """
     text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " ")
     word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{2,})"), F.lit(1))).alias("word")
-    counts = scratch(pages.select(word).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "url-words")
-    return {r.word: r.n for r in most_frequent(counts, MAX_WORDS).collect()}
+    return scratch(pages.select(word).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "url-words")
 
 
 class Segmenter:
     """Most probable split of a string into words; unknown words cost more the longer they are."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """total: tokens of all words, where ``counts`` holds only some."""
+        total = (sum(counts.values()) if total is None else total) + 1
         self.logp = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = [0.0] + [math.log(1 / total) - 2.3 * k for k in range(1, LONGEST + 1)]
         self.memo: dict[str, list[str]] = {}
@@ -119,13 +118,17 @@ class Segmenter:
         return words
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Words of host (without its last label) and path, marked by where they stand."""
+def pieces(host: str, path: str) -> list[tuple[str, str]]:
+    """Runs of letters of host (without its last label) and path, with where they stand."""
     name = re.sub(r":[0-9]*$", "", host.rpartition("@")[2])
     labels = name.split(".")[:-1] or [name]
     labels = labels[1:] if len(labels) > 1 and labels[0] in SERVICE_LABELS else labels
-    out = [f"host:{w}" for label in labels for piece in re.findall(r"[a-z]+", label) for w in segment(piece)]
-    return out + [f"path:{w}" for piece in re.findall(r"[a-z]+", path.lower()) for w in segment(piece)]
+    return [("host", p) for label in labels for p in re.findall(r"[a-z]+", label)] + [("path", p) for p in re.findall(r"[a-z]+", path.lower())]
+
+
+def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
+    """Words of host and path, marked by where they stand."""
+    return [f"{where}:{w}" for where, piece in pieces(host, path) for w in segment(piece)]
 
 
 class Bayes:
@@ -154,26 +157,59 @@ def _example(url: str) -> tuple[str, str]:
     return (m[1].lower(), m[2]) if m else ("", "")
 
 
+def split_pieces(rows: DataFrame, counts: DataFrame, total: int, extra: dict[str, int]) -> DataFrame:
+    """(piece, words) of the distinct pieces in the lists ``pieces``; a piece gets the counts of its own substrings."""
+    piece = rows.select(F.explode("pieces").alias("p")).select(F.substring_index("p", ":", -1).alias("piece")).distinct()
+    piece = scratch(piece.withColumn("id", F.monotonically_increasing_id()), "url-pieces")
+    starts = piece.select("id", F.explode(F.expr(f"transform(sequence(1, length(piece)), i -> substring(piece, i, {LONGEST}))")).alias("s")).where(F.length("s") > 1)
+    parts = starts.select("id", F.explode(F.expr("transform(sequence(2, length(s)), k -> substring(s, 1, k))")).alias("word")).distinct()
+    own = parts.join(counts, "word").groupBy("id").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("ns"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text, known, ns in zip(b["piece"], b["known"], b["ns"], strict=True):
+                near = {} if known is None else dict(zip(known, map(int, ns), strict=True))
+                # All of the few extra words are laid over; only this piece's substrings are looked up.
+                out.append(Segmenter({**near, **{w: near.get(w, 0) + n for w, n in extra.items() if w in text}}, total)(text))
+            yield pd.DataFrame({"piece": b["piece"], "words": out})
+
+    return scratch(piece.join(own, "id", "left").select("piece", "known", "ns").mapInPandas(run, "piece string, words array<string>"), "url-splits")
+
+
 def judge(pages: DataFrame, rules=RULES, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, words, score (log-odds of block)."""
-    counts = Counter(word_counts(pages))
+    counts = word_counts(pages)
+    extra: Counter[str] = Counter()
     for url in [*blocked, *allowed]:  # the examples' words are words, however rare they are
         for w in re.findall(r"[a-z]{2,}", " ".join(_example(url))):
-            counts[w] += 5
-    segment = Segmenter(dict(counts))
+            extra[w] += 5
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + sum(extra.values())
+    shown = {p for u in [*blocked, *allowed] for _, p in pieces(*_example(u))}
+    near = {p[a:b] for p in shown for a in range(len(p)) for b in range(a + 2, min(len(p), a + LONGEST) + 1)}
+    found = counts.join(F.broadcast(pages.sparkSession.createDataFrame([(w,) for w in sorted(near)], "word string")), "word").collect()
+    segment = Segmenter(dict(Counter({r.word: r.n for r in found}) + extra), total)
     bayes = Bayes([(tokens(*_example(u), segment), bad) for bad, urls in ((True, blocked), (False, allowed)) for u in urls])
 
-    def run(batches: Iterator[pd.DataFrame], logp: dict[str, float], unknown: list[float]) -> Iterator[pd.DataFrame]:
-        own = Segmenter({})
-        own.logp, own.unknown = logp, unknown
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(pieces=[[f"{where}:{p}" for where, p in pieces(h, q)] for h, q in zip(b["host"], b["path"], strict=True)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            words = [tokens(h, p, own) for h, p in zip(b["host"], b["path"], strict=True)]
+            words = [[] if w is None else list(w) for w in b["words"]]
             yield b.assign(words=[" ".join(w) for w in words], score=[bayes(w) for w in words])
 
     kind = pages.select("page_id").schema["page_id"].dataType.simpleString()
     host, path = host_and_path(F.col("url"))
-    cut = pages.select("page_id", host.alias("host"), path.alias("path"))
-    scored = cut.mapInPandas(partial(run, logp=segment.logp, unknown=segment.unknown), f"page_id {kind}, host string, path string, words string, score double")
+    cut = pages.select("page_id", host.alias("host"), path.alias("path")).mapInPandas(cut_up, f"page_id {kind}, host string, path string, pieces array<string>")
+    cut = scratch(cut.withColumn("__row", F.monotonically_increasing_id()), "url-cut")
+    split = split_pieces(cut, counts, total, dict(extra))
+    each = cut.select("__row", F.posexplode("pieces").alias("at", "p")).select("__row", "at", F.substring_index("p", ":", 1).alias("where"), F.substring_index("p", ":", -1).alias("piece"))
+    marked = each.join(small(split, split.count()), "piece").select("__row", F.struct("at", F.expr("transform(words, w -> concat(where, ':', w))").alias("w")).alias("x"))
+    words = marked.groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"])).alias("words"))
+    whole = cut.drop("pieces").join(words, "__row", "left").select("page_id", "host", "path", "words")
+    scored = whole.mapInPandas(run, f"page_id {kind}, host string, path string, words string, score double")
     fit = scored.withColumn("r", rule_of(F.col("host"), F.col("path"), list(rules)))
     verdict = F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return fit.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "words", "score")

@@ -2,7 +2,7 @@
 
 import random
 
-from fathomry.llm import lm_score
+from fathomry.llm import lm_score, url_filter
 
 
 def test_lm_words_without_a_code_keep_their_counts(spark):
@@ -18,3 +18,13 @@ def test_lm_words_without_a_code_keep_their_counts(spark):
     counts = lm_score.count_words(docs)
     lexicon = lm_score.lexicon_of(counts, 1101)
     assert len(lexicon.known) == 1100 and counts.count() == 1700
+
+
+def test_url_words_keep_their_counts(spark):
+    """60,000 words seen once each: hosts made of them are split into them."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(8, 10))) for _ in range(60_000)})
+    rng.shuffle(words)
+    rows = [(k, f"http://www.{words[k]}{words[k + 200]}.org/{words[k + 400]}", " ".join(words[k::100])) for k in range(100)]
+    got = {r.page_id: r.words for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"host:{words[k]} host:{words[k + 200]} path:{words[k + 400]}" for k in range(100)}
