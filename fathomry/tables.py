@@ -8,18 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast (narrow rows: at most some tens of MB).
+#: Rows and bytes (as JSON) of a table that may be broadcast.
 MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) is a temporary folder taken.
+    Only a local session, as in tests, may leave it unset and gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not hasattr(spark.sparkContext, "_fathomry_dir"):
         spark.sparkContext._fathomry_dir = tempfile.mkdtemp(prefix="fathomry-")
     return spark.sparkContext._fathomry_dir
@@ -44,12 +47,16 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted ``rows`` are within ``limit``, else as it is.
+def small(df: DataFrame, rows: int, limit: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its counted ``rows`` and measured bytes are within bounds, else as it is.
 
-    Beyond the limit Spark joins by shuffle and AQE splits skewed partitions.
+    Beyond them Spark joins by shuffle and AQE splits skewed partitions.  ``df`` is read to
+    measure it, so it should be a written table.
     """
-    return F.broadcast(df) if rows <= limit else df
+    if rows > (MAX_BROADCAST_ROWS if limit is None else limit):
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df
 
 
 def ship(spark: SparkSession) -> None:
