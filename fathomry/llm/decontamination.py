@@ -3,18 +3,23 @@
 A benchmark item gives windows of ``WINDOW`` consecutive words (one shorter window if it
 has fewer words).  A document holds a window only if it holds the window's rarest word, so
 that word alone is the window's necessary prefix under the order "rarest first".  Rarity
-is counted over the words of all documents.  Documents put forward only the places of
-prefix words, with the words around them; these are joined to the windows on the prefix
-word, the window's offset and length bound where it can lie, and the words themselves are
-compared.  Only candidates are exploded, and the shuffle by document carries hits alone.
-
-The benchmark's vocabulary goes into the plan as a hash set, so it is taken in blocks of at
-most ``BLOCK_WORDS`` words of items: a larger benchmark means more passes, not more memory.
-
-Null, empty or wordless texts: no words, no hits.  Repeated rows of one doc_id and text are
-one document; a doc_id with several texts gives a row for each.  Items with one item_id
-and several texts count as one item.  Empty tables: no rows, or no hits.  Null item_ids
-count as an item but have no place in the list.  Other columns are ignored.
+is counted over the words of all documents.
+
+The words of documents are joined to the distinct prefix words, each of which lists the
+offsets and lengths of its windows: these bound where a window can lie, and only windows
+that fit into the document are cut out, joined to the benchmark's windows by hash, and
+compared word by word.  So a prefix word costs its offsets (36 at most), however many
+windows begin with it.
+
+The documents are read twice, once to count and once to search, whatever the benchmark's
+size, and the plan doesn't grow with it.  Prefix words and windows are broadcast within
+the bounds of ``tables.small``; beyond them they are joined by shuffle, with the fifteen
+words around each place.  The shuffle by document carries hits and one row a document.
+
+Null, empty or wordless texts: no words, no hits.  Every row gets a row, repeated ones too.
+Items with one item_id and several texts count as one item.  Empty tables: no rows, or no
+hits.  Null item_ids count as an item but have no place in the list.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import scratch, small, text_or_empty
 
 WINDOW = 8
-#: Words of benchmark items that one pass takes (about 10 MB of set in the plan).
-BLOCK_WORDS = 100_000
+#: Hit words from which :func:`decontaminate` drops a document: one whole window.
+LEAST_HIT = WINDOW
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -48,79 +53,81 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     ).distinct()
 
 
-def _blocks(bench: DataFrame) -> list[DataFrame]:
-    """The windows in parts whose vocabulary is bounded."""
-    total = bench.agg(F.sum(F.size("ws"))).first()[0] or 0
-    n = -(-total // BLOCK_WORDS) or 1
-    return [bench.where(F.expr(f"pmod(xxhash64(ws), {n}) = {i}")) for i in range(n)] if n > 1 else [bench]
+def _broadcast(df: DataFrame) -> tuple[DataFrame, bool]:
+    marked = small(df, df.count())
+    return marked, marked is not df
 
 
-def _words_of(df: DataFrame, column: str) -> list[str]:
-    """A block's distinct words; at most BLOCK_WORDS or so by construction."""
-    return [r[0] for r in df.select(column).distinct().collect()]
+def rarity(doc_words: DataFrame, bench: DataFrame) -> DataFrame:
+    """(h, n): how often each word of the windows (by hash) occurs in all documents."""
+    own = scratch(bench.select(F.explode("ws").alias("w")).select(F.xxhash64("w").alias("h")).distinct(), "decontamination-vocabulary")
+    each = doc_words.select(F.explode("__w").alias("w")).select(F.xxhash64("w").alias("h"))
+    own, fits = _broadcast(own)
+    if fits:
+        return each.join(own, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(own, "h", "left_semi")
 
 
-def _rarity(doc_words: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(w, n): how often each vocabulary word occurs in all documents."""
-    held = F.explode(F.filter("__w", lambda w: w.isin(vocabulary))).alias("w")
-    return doc_words.select(held).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def prefixes(doc_words: DataFrame, bench: DataFrame) -> DataFrame:
+    """(item_id, ws, h, offset): each window with its rarest word's hash and place.
 
-
-def _block_hits(doc_words: DataFrame, block: DataFrame) -> DataFrame:
-    """(doc_id, tag, n_words, start, len, item_id); documents without hits have one row without."""
-    vocabulary = _words_of(block.select(F.explode("ws").alias("w")), "w")
-    rarity = scratch(_rarity(doc_words, vocabulary), "decontamination-rarity")
-    each = block.select("item_id", "ws", F.posexplode("ws").alias("offset", "w"))
-    prefix = (
-        each.join(F.broadcast(rarity), "w", "left")  # at most BLOCK_WORDS rows
+    A window with a word that no document has can't occur and is left out.
+    """
+    counts = scratch(rarity(doc_words, bench), "decontamination-rarity")
+    each = bench.select("item_id", "ws", F.posexplode("ws").alias("offset", "w")).withColumn("h", F.xxhash64("w"))
+    return (
+        each.join(_broadcast(counts)[0], "h", "left")
         .groupBy("item_id", "ws")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w", "offset")).alias("p"), F.count(F.lit(1)).alias("__c"))
-        .where("p.n > 0")  # a window with a word that no document has can't occur
-        .select("item_id", "ws", F.col("p.w").alias("__pw"), F.col("p.offset").alias("offset"))
-    )
-    prefix = scratch(prefix, "decontamination-prefix")
-    tokens = _words_of(prefix, "__pw")
-    r = WINDOW - 1
-    flagged = doc_words.select(
-        "doc_id",
-        "__tag",
-        "n_words",
-        "__w",
-        F.filter(F.transform("__w", lambda w, i: F.when(w.isin(tokens), i)), lambda i: i.isNotNull()).alias("__at"),
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("p"))
+        .where("p.n > 0")
+        .select("item_id", "ws", "p.h", "p.offset")
     )
-    seen = flagged.select(
-        "doc_id",
-        "__tag",
-        "n_words",
-        F.explode_outer(
-            F.expr(f"transform(__at, i -> struct(i as place, __w[i] as w, slice(__w, greatest(i - {r}, 0) + 1, {2 * r + 1}) as around))")
-        ).alias("__c"),
-    )
-    near = "slice(__c.around, __c.place - offset - greatest(__c.place - 7, 0) + 1, size(ws))".replace("7", str(r))
-    fits = "__c.place >= offset and __c.place - offset + size(ws) <= n_words"
-    joined = seen.join(small(prefix, prefix.count()), F.col("__c.w") == F.col("__pw"), "left")
-    hit = F.expr(f"case when {fits} then {near} = ws else false end")
-    return joined.select(
+
+
+def _candidates(doc_words: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(doc_id, __tag, __row, n_words, p, start, ws): windows of documents that lie around a prefix word.
+
+    Every document also has a row with p = 0: a blank word stands before its first one, and
+    the blank is a prefix word too.
+    """
+    at = F.struct("offset", F.size("ws").alias("len"))
+    heads = prefix.groupBy("h").agg(F.collect_set(at).alias("at"))  # at most 36 for each
+    blank = prefix.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("h"), F.expr("array(struct(0 as offset, 0 as len))").alias("at"))
+    heads, fits = _broadcast(scratch(heads.unionByName(blank), "decontamination-heads"))
+    seen = doc_words.select("*", F.size("__w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "__w")).alias("p", "w"))
+    if fits:  # the document's words stay where they are
+        near = seen.withColumn("base", F.lit(0))
+    else:
+        r = WINDOW - 1
+        near = seen.withColumn("base", F.expr(f"greatest(p - 1 - {r}, 0)")).withColumn("__w", F.expr(f"slice(__w, base + 1, {2 * r + 1})"))
+    met = near.withColumn("h", F.xxhash64("w")).join(heads, "h").select("doc_id", "__tag", "__row", "n_words", "p", "base", "__w", F.explode("at").alias("c"))
+    inside = met.where("p = 0 or (p - 1 >= c.offset and p - 1 - c.offset + c.len <= n_words)").withColumn("start", F.expr("p - 1 - c.offset"))
+    return inside.select("doc_id", "__tag", "__row", "n_words", "p", "start", F.expr("slice(__w, greatest(start - base, 0) + 1, c.len)").alias("ws"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and __tag)."""
+    doc_words = docs.select("doc_id", F.xxhash64("text").alias("__tag"), F.monotonically_increasing_id().alias("__row"), words(text_or_empty()).alias("__w"))
+    bench = scratch(windows(benchmark), "decontamination-windows")
+    prefix = scratch(prefixes(doc_words.select("__w"), bench), "decontamination-prefix")
+    known = _broadcast(prefix.select("item_id", F.col("ws").alias("bs")))[0].withColumn("bh", F.xxhash64("bs"))
+    met = _candidates(doc_words, prefix).withColumn("wh", F.xxhash64("ws")).join(known, (F.col("wh") == F.col("bh")) & (F.col("ws") == F.col("bs")), "left")
+    held = F.col("bs").isNotNull()
+    hits = met.where(held | (F.col("p") == 0)).select(
         "doc_id",
         "__tag",
+        "__row",
         "n_words",
-        F.when(hit, F.expr("struct(__c.place - offset as start, size(ws) as len)")).alias("hit"),
-        F.when(hit, F.struct("item_id")).alias("item"),
+        F.when(held, F.struct("start", F.size("ws").alias("len"))).alias("hit"),
+        F.when(held, F.struct("item_id")).alias("item"),
     )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and __tag)."""
-    text = text_or_empty()
-    doc_words = docs.select("doc_id", F.xxhash64("text").alias("__tag"), words(text).alias("__w")).select(
-        "doc_id", "__tag", F.size("__w").cast("long").alias("n_words"), "__w"
+    found = hits.groupBy("__row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("__tag").alias("__tag"),
+        F.first("n_words").cast("long").alias("n_words"),
+        F.collect_set("hit").alias("hits"),
+        F.collect_set("item").alias("items"),
     )
-    bench = scratch(windows(benchmark), "decontamination-windows")
-    parts = [_block_hits(doc_words, b) for b in _blocks(bench)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    found = rows.groupBy("doc_id", "__tag").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("item").alias("items"))
     covered = (
         "if(size(hits) = 0, 0L, element_at(transform(array(array_sort(hits)), h -> aggregate(h, struct(0L as n, 0L as upto),"
         " (a, x) -> struct(a.n + greatest(x.start + x.len - greatest(a.upto, cast(x.start as bigint)), 0L) as n,"
@@ -138,12 +145,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_hit: int = LEAST_HIT) -> DataFrame:
+    """The documents with fewer than ``least_hit`` words in benchmark windows, with their own columns.
 
-    The ids of contaminated documents (few of all) are joined back; texts are shuffled only
-    if those ids are too many to broadcast.
+    One passage of one item is enough (the flag of :func:`contamination` asks for two items).
+    An item shorter than ``least_hit`` words doesn't drop a document by itself: a few words in
+    a row occur by chance.  The ids of dropped documents (few of all) are joined back; texts
+    are shuffled only if those ids are too many to broadcast.
     """
-    bad = scratch(contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__id"), "__tag"), "decontamination-bad")
+    bad = scratch(contamination(docs, benchmark).where(F.col("n_hit") >= least_hit).select(F.col("doc_id").alias("__id"), "__tag").distinct(), "decontamination-bad")
     on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tag"))
     return docs.join(small(bad, bad.count()), on, "left_anti")

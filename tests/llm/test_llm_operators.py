@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from fathomry import tables
 from fathomry.llm import decontamination, license_scan, lm_score, mixing, oracles, pii, quality_rules, queries, secret_scan, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -138,9 +139,12 @@ def brute_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK_WORDS, 40])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("rows", [tables.MAX_BROADCAST_ROWS, 0])
+def test_decontamination(spark, monkeypatch, rows):
+    """With prefix words broadcast, and with none of them."""
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", rows)
+    if not rows:
+        monkeypatch.setattr(decontamination, "_broadcast", lambda df: (df.hint("merge"), False))
     rng = random.Random(4)
     word = lambda: rng.choice(["the", "of", "Éa", "éa", "İx", "x9", *(f"r{k}" for k in range(12))])
     items = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 3, 8, 9, 20])))) for k in range(14)]
@@ -155,6 +159,18 @@ def test_decontamination(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == brute_contamination(docs, items)
 
 
+def test_decontamination_drops_single_passages(spark):
+    """One passage of one item goes; seven words of it, or another order, stay."""
+    rng = random.Random(6)
+    item = [f"q{k}" for k in range(20)]
+    noise = lambda n: [f"n{rng.randrange(500)}" for _ in range(n)]
+    rows = [(k, " ".join(noise(40) + item[k : k + 8] + noise(40))) for k in range(12)]
+    rows += [(100 + k, " ".join(noise(40) + item[k : k + 7] + noise(40))) for k in range(12)] + [(200, " ".join(item[::-1])), (201, None), (202, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "n1")], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.decontaminate(docs, items).collect()} == {i for i, _ in rows if i >= 100}
+
+
 def brute_quality(rows):
     """{doc_id: (..., base_failed, kept)} with the same sketches, one document at a time."""
     stats, cells = [], defaultdict(Counter)
@@ -372,7 +388,7 @@ def test_pipeline(spark):
     component = brute([r[:2] for r in rows])
     rows = [r for r in rows if component[r[0]][1] == r[0]]
     bad = brute_contamination([r[:2] for r in rows], items)
-    rows = [r for r in rows if not bad[r[0]][-1]]
+    rows = [r for r in rows if bad[r[0]][1] < decontamination.LEAST_HIT]
     clean = [(i, pii.redacted(t, pii.spans(t)), s) for i, t, _, s in rows]
     got = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.source, r["pass"], r.n_tokens, r.weight, r.block, r.slot) for r in got) == sorted(brute_mix(clean))
