@@ -6,7 +6,7 @@ import math
 
 from . import license_scan
 from .mixing import BLOCK_TOKENS, ENTROPY, MAX_REPEATS, SEED, STEPS
-from .quality_rules import GAMMA, MEASURES, ZERO
+from .quality_rules import GAMMA, MEASURES, PRIOR
 
 _BENCH_WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
@@ -30,18 +30,15 @@ from d left join c on d.doc_id = c.doc_id left join i on d.doc_id = i.doc_id
 
 
 def _op8() -> str:
-    bucket = lambda m: f"case when {m.value} is null then null when {m.value} < {m.resolution} then {ZERO} else ceil(ln({m.value}) / {math.log(GAMMA)!r})::bigint end"
+    bucket = lambda m: f"ceil(ln({m.value}) / {math.log(GAMMA)!r})::bigint"
     cells = " union all ".join(f"select g_lang, g_source, '{k}' measure, {bucket(m)} bucket from s where not base_failed" for k, m in MEASURES.items())
     fence, test = [], []
     for k, m in MEASURES.items():
-        least = math.ceil(math.log(m.resolution) / math.log(GAMMA))
-        fence.append(
-            f"max(case when q3 = {ZERO} then {least} when q1 = {ZERO} then greatest({least}, q3)"
-            f" else greatest({least}, q3 + ceil({m.reach} * (q3 - q1))) end) filter (where measure = '{k}') hi_{k}"
-        )
+        at = f"filter (where measure = '{k}')"
+        fence.append(f"max(q3 + {m.reach} * greatest(q3 - q2, {m.least})) {at} hi_{k}")
         test.append(f"coalesce({bucket(m)} > hi_{k}, false)")
         if m.low:
-            fence.append(f"max(case when q1 = {ZERO} then {ZERO} else q1 - ceil({m.reach} * (q3 - q1)) end) filter (where measure = '{k}') lo_{k}")
+            fence.append(f"max(q1 - {m.reach} * greatest(q2 - q1, {m.least})) {at} lo_{k}")
             test.append(f"coalesce({bucket(m)} < lo_{k}, false)")
     return f"""
 with t as (select doc_id, coalesce(lang, chr(1)) g_lang, coalesce(source, chr(1)) g_source, coalesce(text, '') x from documents),
@@ -57,11 +54,16 @@ s0 as (select w.doc_id, g_lang, g_source, len(w)::bigint n_words, len(l)::bigint
   (len(l) - len(list_distinct(l)))::bigint n_dup_lines, coalesce(r.n, 0)::bigint n_repeat_words
   from w left join r on w.doc_id = r.doc_id),
 s as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from s0),
-k as (select g_lang, g_source, measure, bucket, count(*) n from ({cells}) where bucket is not null group by all),
-c as (select *, sum(n) over (partition by g_lang, g_source, measure order by bucket) cum,
-  sum(n) over (partition by g_lang, g_source, measure) total from k),
+k as (select g_lang, g_source, measure, bucket, count(*)::hugeint n from ({cells}) group by all),
+z as (select g_lang, measure, sum(n)::hugeint size from k group by all),
+v as (select g_lang, g_source, measure, bucket, sum(w) w from (
+  select k.g_lang, g_source, k.measure, bucket, n * size w from k join z on k.g_lang = z.g_lang and k.measure = z.measure
+  union all select e.g_lang, e.g_source, e.measure, k.bucket, k.n * {PRIOR} from (select distinct g_lang, g_source, measure from k) e
+    join k on k.g_lang = e.g_lang and k.measure = e.measure) group by all),
+c as (select *, sum(w) over (partition by g_lang, g_source, measure order by bucket) cum,
+  sum(w) over (partition by g_lang, g_source, measure) total from v),
 q as (select g_lang, g_source, measure, min(bucket) filter (where cum * 4 >= total) q1,
-  min(bucket) filter (where cum * 4 >= total * 3) q3 from c group by all),
+  min(bucket) filter (where cum * 4 >= total * 2) q2, min(bucket) filter (where cum * 4 >= total * 3) q3 from c group by all),
 f as (select g_lang, g_source, {", ".join(fence)} from q group by all)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not ({" or ".join(test)}) kept

@@ -7,9 +7,19 @@ of geometrically growing width (relative error ``ACCURACY``), kept as plain coun
 shards merge by summing, a hot source is pre-aggregated before the shuffle, and results
 don't depend on the order of merging.  Fences are read off the sketches and joined back.
 
+A fence lies beyond the third quartile by ``reach`` times what lies between it and the
+median (on a log scale), so it follows each source's own level and spread; three quarters
+of a source must be junk of one kind before its median is junk, a quarter before its third
+quartile is.  Small sources borrow from their language: its sketch counts as ``PRIOR``
+documents more.  Shares are taken with some imagined clean words or lines added, so that a
+short text's few marks don't look like a habit, and so that no value is zero.  The only
+fixed limit is ``least``, the least spread (in buckets), for sources whose documents are
+all alike.
+
 Null or empty text: zero words, so the base rule rejects it.  Null lang or source: a
 group of its own.  Repeated rows are judged alike, one by one; an empty table gives an
-empty result; other columns are ignored (or kept, in :func:`filter_documents`).
+empty result; other columns are ignored (or kept, in :func:`filter_documents`).  Five-word
+windows are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,27 +35,26 @@ from .common import scratch, small, text_or_empty
 BLANK = r"[\x20\x09-\x0D]+"
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: Bucket of values below a measure's resolution.
-ZERO = -1_000_000
+#: Documents as which the sketch of its language counts in each source.
+PRIOR = 50
 
 
 @dataclass(frozen=True)
 class Measure:
-    """resolution: smaller values count as zero.  reach: how far beyond the quartiles, in
-    quartile ratios, values still pass.  low: whether too small a value also fails."""
+    """reach: how far beyond a quartile, in its ratios to the median, values still pass.
+    least: the least such ratio, in buckets.  low: whether too small a value also fails."""
 
     value: str
-    resolution: float
-    reach: float
+    reach: int
+    least: int
     low: bool = False
 
 
 MEASURES = {
-    # The mean of a few words says little, so shorter texts aren't measured.
-    "word_length": Measure("case when n_words >= 30 then word_chars / n_words end", 0.5, 6.0, True),
-    "symbols": Measure("n_symbols / nullif(n_words, 0)", 0.1, 3.0),
-    "dup_lines": Measure("n_dup_lines / nullif(n_lines, 0)", 0.35, 3.0),
-    "capitals": Measure("n_capitals / nullif(word_chars, 0)", 0.3, 3.0),
+    "word_length": Measure("(word_chars + 100) / (n_words + 20)", 10, 1, True),
+    "symbols": Measure("(n_symbols + 1) / (n_words + 50)", 4, 5),
+    "dup_lines": Measure("(n_dup_lines + 1) / (n_lines + 5)", 4, 5),
+    "capitals": Measure("(n_capitals + 1) / (word_chars + 100)", 8, 5),
 }
 
 #: Windows of five words that occur twice: sort (hash, place), keep places whose neighbour
@@ -107,8 +116,7 @@ def _group(name: str):
 
 
 def _bucket(m: Measure) -> str:
-    v = f"cast({m.value} as double)"
-    return f"case when {v} is null then null when {v} < {m.resolution}d then {ZERO}L else cast(ceil(ln({v}) / {math.log(GAMMA)!r}d) as bigint) end"
+    return f"cast(ceil(ln(cast({m.value} as double)) / {math.log(GAMMA)!r}d) as bigint)"
 
 
 def sketches(stats: DataFrame) -> DataFrame:
@@ -117,7 +125,6 @@ def sketches(stats: DataFrame) -> DataFrame:
     return (
         stats.where(~base_failed())
         .select(_group("lang").alias("g_lang"), _group("source").alias("g_source"), F.expr(f"inline(array({cells}))"))
-        .where("bucket is not null")
         .groupBy("g_lang", "g_source", "measure", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -126,29 +133,26 @@ def sketches(stats: DataFrame) -> DataFrame:
 def fences(sketch: DataFrame) -> DataFrame:
     """One row per (g_lang, g_source): the lowest and highest bucket of each measure that passes.
 
-    With quartiles q1 and q3, values up to q3 * (q3 / q1) ** reach pass, and at least the
-    resolution; in buckets, q3 + reach * (q3 - q1).
+    A source's cells count n times its language's documents and the language's cells
+    ``PRIOR`` times n, so that weights are whole numbers.  ``sketch`` is read three times.
     """
     key = ["g_lang", "g_source", "measure"]
-    ranked = sketch.withColumn("cum", F.expr(f"sum(n) over (partition by {', '.join(key)} order by bucket)")).withColumn(
-        "total", F.expr(f"sum(n) over (partition by {', '.join(key)})")
-    )
-    quart = ranked.groupBy(*key).agg(
-        F.expr("min(bucket) filter (where cum * 4 >= total)").alias("q1"),
-        F.expr("min(bucket) filter (where cum * 4 >= total * 3)").alias("q3"),
+    lang = sketch.groupBy("g_lang", "measure", "bucket").agg(F.sum("n").alias("n"))
+    size = sketch.groupBy("g_lang", "measure").agg(F.sum("n").alias("size"))
+    whole = lambda c: f"cast({c} as decimal(18, 0))"
+    own = sketch.join(size, ["g_lang", "measure"]).select(*key, "bucket", F.expr(f"{whole('n')} * {whole('size')}").alias("w"))
+    lent = sketch.select(*key).distinct().join(lang, ["g_lang", "measure"]).select(*key, "bucket", F.expr(f"{whole('n')} * {whole(PRIOR)}").alias("w"))
+    cells = own.unionByName(lent).groupBy(*key, "bucket").agg(F.sum("w").alias("w"))
+    ranked = cells.withColumn("cum", F.expr(f"sum(w) over (partition by {', '.join(key)} order by bucket)")).withColumn(
+        "total", F.expr(f"sum(w) over (partition by {', '.join(key)})")
     )
+    quart = ranked.groupBy(*key).agg(*[F.expr(f"min(bucket) filter (where cum * 4 >= total * {q})").alias(f"q{q}") for q in (1, 2, 3)])
     out = []
     for k, m in MEASURES.items():
-        least = math.ceil(math.log(m.resolution) / math.log(GAMMA))
         at = f"filter (where measure = '{k}')"
-        out.append(
-            F.expr(
-                f"max(case when q3 = {ZERO} then {least} when q1 = {ZERO} then greatest({least}, q3)"
-                f" else greatest({least}, q3 + cast(ceil({m.reach}d * (q3 - q1)) as bigint)) end) {at}"
-            ).alias(f"hi_{k}")
-        )
+        out.append(F.expr(f"max(q3 + {m.reach} * greatest(q3 - q2, {m.least})) {at}").alias(f"hi_{k}"))
         if m.low:
-            out.append(F.expr(f"max(case when q1 = {ZERO} then {ZERO} else q1 - cast(ceil({m.reach}d * (q3 - q1)) as bigint) end) {at}").alias(f"lo_{k}"))
+            out.append(F.expr(f"max(q1 - {m.reach} * greatest(q2 - q1, {m.least})) {at}").alias(f"lo_{k}"))
     return quart.groupBy("g_lang", "g_source").agg(*out)
 
 
@@ -166,7 +170,7 @@ def judge(stats: DataFrame, fence: DataFrame) -> DataFrame:
 
 
 def _fence_table(stats: DataFrame) -> DataFrame:
-    table = scratch(fences(sketches(stats)), "quality-fences")
+    table = scratch(fences(scratch(sketches(stats), "quality-sketches")), "quality-fences")
     return small(table, table.count())
 
 
@@ -179,8 +183,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with their own columns; texts aren't shuffled."""
-    fence = _fence_table(measures(docs, "lang", "source"))
+    """The documents that are kept, with their own columns.
+
+    Texts are measured once, written next to their measures and read again for the verdict:
+    they aren't shuffled.
+    """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "lang", "source", "text")
-    judged = judge(measures(row, "__row", "lang", "source"), fence)
+    stats = scratch(measures(row, "__row", "lang", "source"), "quality-documents")
+    judged = judge(stats, _fence_table(stats.drop("__row")))
     return judged.where("kept").select("__row.*")

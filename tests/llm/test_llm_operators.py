@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -184,27 +185,32 @@ def brute_quality(rows):
         chars = sum(map(len, w))
         sym, caps, dup = len(re.findall(r"[#*$%&|<>]", t)), len(re.findall("[A-Z]", t)), len(lines) - len(set(lines))
         failed = len(w) < 10 or 100 * rep > 20 * len(w)
-        part = lambda a, b: a / b if b else None
-        values = {"word_length": chars / len(w) if len(w) >= 30 else None, "symbols": part(sym, len(w)), "dup_lines": part(dup, len(lines)), "capitals": part(caps, chars)}
-        b = {}
-        for k, v in values.items():
-            b[k] = None if v is None else quality_rules.ZERO if v < quality_rules.MEASURES[k].resolution else math.ceil(math.log(v) / math.log(quality_rules.GAMMA))
-            if not failed and b[k] is not None:
-                cells[lang, source, k][b[k]] += 1
+        values = {"word_length": (chars + 100) / (len(w) + 20), "symbols": (sym + 1) / (len(w) + 50), "dup_lines": (dup + 1) / (len(lines) + 5), "capitals": (caps + 1) / (chars + 100)}
+        b = {k: math.ceil(math.log(v) / math.log(quality_rules.GAMMA)) for k, v in values.items()}
+        for k in values if not failed else ():
+            cells[lang, source, k][b[k]] += 1
         stats.append((i, lang, source, (len(w), chars, sym, dup, rep), failed, b))
+    by_lang = defaultdict(Counter)
+    for (lang, _, k), c in cells.items():
+        by_lang[lang, k].update(c)
+
+    def quartile(lang, source, k, q):
+        own, lent = cells[lang, source, k], by_lang[lang, k]
+        weights = {x: own[x] + Fraction(quality_rules.PRIOR * lent[x], lent.total()) for x in lent}
+        whole, upto = sum(weights.values()), 0
+        for x in sorted(weights):
+            upto += weights[x]
+            if upto * 4 >= whole * q:
+                return x
+
     out = {}
     for i, lang, source, counts, failed, b in stats:
         kept = not failed
         for k, m in quality_rules.MEASURES.items():
-            cell = sorted(cells[lang, source, k].elements())
-            if not cell or b[k] is None:
+            if not cells[lang, source, k]:
                 continue
-            z = quality_rules.ZERO
-            q1, q3 = cell[max(math.ceil(len(cell) / 4) - 1, 0)], cell[max(math.ceil(len(cell) * 3 / 4) - 1, 0)]
-            least = math.ceil(math.log(m.resolution) / math.log(quality_rules.GAMMA))
-            hi = least if q3 == z else max(least, q3) if q1 == z else max(least, q3 + math.ceil(m.reach * (q3 - q1)))
-            lo = -math.inf if not m.low else z if q1 == z else q1 - math.ceil(m.reach * (q3 - q1))
-            kept &= lo <= b[k] <= hi
+            q1, q2, q3 = (quartile(lang, source, k, q) for q in (1, 2, 3))
+            kept &= b[k] <= q3 + m.reach * max(q3 - q2, m.least) and (not m.low or b[k] >= q1 - m.reach * max(q2 - q1, m.least))
         out[i] = (*counts, failed, kept)
     return out
 
@@ -225,6 +231,33 @@ def test_quality_rules(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in want.items() if r[-1]}
 
 
+def test_fences_follow_the_source(spark):
+    """Each source has fences of its own for every measure, and what is usual in one may be too much in another."""
+    rng = random.Random(12)
+    rows = []
+    for source, (symbols, length, repeats, capitals) in {"prose": (0, 5, 0, 0.02), "code": (30, 7, 1, 0.1), "table": (12, 3, 6, 0.3)}.items():
+        for k in range(300):
+            n = rng.randrange(60, 400)
+            words = ["".join(rng.choice("abcdefgh") for _ in range(max(1, round(rng.gauss(length, 1))))) for _ in range(n)]
+            words = [w.upper() if rng.random() < capitals else w for w in words]
+            for _ in range(round(symbols * n / 100 * rng.uniform(0.5, 1.5))):
+                words[rng.randrange(n)] += "#"
+            lines = [" ".join(words[j : j + 12]) for j in range(0, n, 12)]
+            lines += [lines[0]] * rng.randrange(repeats + 1)
+            rows.append((len(rows), "\n".join(lines), "en", source))
+    odd = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(n)) + "#" * (k % 4 == 0) for k in range(200))
+    rows += [(5000, odd(5), "en", "prose"), (5001, odd(7), "en", "code")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality_rules.measures(docs, "lang", "source")
+    got = quality_rules.fences(quality_rules.sketches(stats)).collect()
+    assert len(got) == 3
+    for k, m in quality_rules.MEASURES.items():
+        assert len({r[f"hi_{k}"] for r in got}) == 3, k
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).where("not base_failed").collect()}
+    assert not kept[5000] and kept[5001]
+    assert len(kept) > 700 and sum(kept.values()) > 0.97 * len(kept)
+
+
 def brute_mix(rows, entropy=mixing.ENTROPY, limit=mixing.MAX_REPEATS, budget=None, block_tokens=mixing.BLOCK_TOKENS):
     by = defaultdict(list)
     for i, t, s in rows:
