@@ -87,14 +87,60 @@ def test_pigeonhole(spark):
     import pandas as pd
 
     rng = np.random.default_rng(1)
-    most = near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
+    most = near_dedup.REACH
     for _ in range(50):
-        a = rng.integers(0, 256, near_dedup.K).astype(np.uint8)
+        a = rng.integers(0, 65536, near_dedup.K).astype(np.uint16)
         b = a.copy()
         b[rng.choice(near_dedup.K, most, replace=False)] ^= 1
-        frame = pd.DataFrame({"node": [1, 2], "sig": [a.tobytes(), b.tobytes()]})
+        frame = pd.DataFrame({"rep": [1, 2], "sig": [a.tobytes(), b.tobytes()]})
         keys = pd.concat(near_dedup._keys(iter([frame])))
-        assert set(keys.key[keys.node == 1]) & set(keys.key[keys.node == 2])
+        assert set(keys.key[keys.rep == 1]) & set(keys.key[keys.rep == 2])
+
+
+def near(text, k):
+    """The text with its word k replaced."""
+    w = text.split()
+    w[k] = f"other{k}"
+    return " ".join(w)
+
+
+def test_texts_of_one_document_link_their_copies(spark):
+    """Near copies of either text of a document, and of repeated rows, are one component; no row is lost or multiplied."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(10, a), (10, b), (20, near(a, 3)), (30, near(b, 5)), (30, near(b, 5)), (5, near(b, 70)), (40, a), (50, c), (60, near(c, 9)), (60, near(c, 9)), (60, near(c, 9))]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, 50 if i in (50, 60) else 5) for i, _ in rows)
+
+
+def test_recall_at_the_threshold(spark):
+    """Made pairs just above similarity 0.75: no link is lost."""
+    rng = random.Random(11)
+    rows, pairs = [], 0
+    for n in (40, 150, 400):
+        for _ in range(300):
+            base = [f"v{rng.randrange(10**6)}" for _ in range(n)]
+            other, have = list(base), base
+            while True:
+                at = rng.randrange(n)
+                other = [*have[:at], f"u{rng.randrange(10**6)}", *have[at + 1 :]]
+                x, y = ({tuple(w[k : k + 5]) for k in range(n - 4)} for w in (base, other))
+                if 100 * len(x & y) < 75 * len(x | y):
+                    break
+                have = other
+            if have is not base:
+                pairs += 1
+                rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(have))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert pairs > 800 and got.where("not kept").count() == pairs
+
+
+def test_hub(spark):
+    """A label at most nodes, itself linked further down."""
+    links = [(k, 100) for k in range(101, 3000)] + [(100, 7), (7, 3), (5000, 2999), (6000, 4000)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "node long, label long"), "hub").collect()}
+    assert got == {k: 3 for k in [7, 100, *range(101, 3000), 5000]} | {6000: 4000}
 
 
 def test_components_of_a_chain(spark):
