@@ -2,7 +2,7 @@
 
 1. quality_rules: documents that the base rules or the adaptive thresholds reject go.
 2. near_dedup: of each component of near-duplicates, the least doc_id stays.
-3. decontamination: documents that hold windows of two or more benchmark items go.
+3. decontamination: documents with eight or more words in benchmark windows go; one passage is enough.
 4. pii: personal data is replaced in the texts; n_chars follows.
 5. mixing: the mix of sources, as rows (doc_id, source, pass, n_tokens, weight, block, slot).
 
