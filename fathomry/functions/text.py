@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that template search leaves out.
-STOPWORDS = (
-    "a an the is are for to of in on with and or that this it as at by from be was has have do does did will would could should page file"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "for", "to", "of", "in", "on", "with", "and", "or", "that", "this", "it", "as", "at", "by", "from", "be", "was",
+    "has", "have", "do", "does", "did", "will", "would", "could", "should", "page", "file",
+]
 
 
 def terms(text: Column) -> Column:

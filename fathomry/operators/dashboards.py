@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,13 +139,31 @@ def public_api(symbols: DataFrame) -> DataFrame:
     return rows.select("file", F.transform("l", lambda x: x["name"]).alias("exports"), F.transform("l", lambda x: F.struct(x["name"], x["type"], x["signature"], x["jsdoc"])).alias("public_api"))
 
 
-# What a build log reports, as (name, pattern).
-LOG_PATTERNS = (
-    ("files", r"(?i)(\d+) files?"), ("symbols", r"(?i)(\d+) symbols?"), ("modules", r"(?i)(\d+) modules?"), ("edges", r"(?i)(\d+) edges?"), ("nodes", r"(?i)(\d+) nodes?"),
-    ("summaries", r"(?i)(\d+) (?:generated|processed)"), ("cached", r"(?i)(\d+) cached"), ("features", r"(?i)(\d+) features?"), ("seconds", r"(?i)([0-9.]+) ?s(?:econds)?\b"),
-)
+# The lines in which a build log reports its phases, with the numbers' names.
+LOG_LINES = (
+    "Symbols: {symbols} in {symbols_ms}ms",
+    "Dependencies: {modules} modules?, {cycles} cycles? in {dependencies_ms}ms",
+    "Summaries: {summaries} generated [(]{cached} cached[)] in {summaries_ms}ms",
+    "Embeddings: {embedded_files} files?, {embedded_symbols} symbols? in {embeddings_ms}ms",
+    "Graph: {nodes} nodes?, {edges} edges? in {graph_ms}ms",
+    "Graphify: [+]{added_nodes} nodes?, [+]{added_edges} edges? in {graphify_ms}ms",
+    "Features: {features} discovered in {features_ms}ms",
+    "Done in {total_ms}ms total",
+)
 
 
 def log_stats(logs: DataFrame) -> DataFrame:
-    """Numbers that build logs report, null where they don't."""
-    return logs.select("*", *[F.nullif(F.regexp_extract("log", p, 1), F.lit("")).cast("double").alias(k) for k, p in LOG_PATTERNS])
+    """Numbers that build logs report by phase, null where they don't, and language_files: language -> files found."""
+    out = []
+    for line in LOG_LINES:
+        pattern = re.sub(r"[{]\w+[}]", r"(\\d+)", line).replace(" ", r"\s+")
+        for k, name in enumerate(re.findall(r"[{](\w+)[}]", line), 1):
+            out.append(F.nullif(F.regexp_extract("log", pattern, k), F.lit("")).cast("long").alias(name))
+    found = lambda k: F.regexp_extract_all("log", F.lit(r"Found\s+(\d+)\s+(\w+)\s+files"), F.lit(k))
+    # A language found twice counts with its last number.
+    last = F.aggregate(
+        F.arrays_zip(found(2).alias("lang"), found(1).alias("n")),
+        F.create_map().cast("map<string, bigint>"),
+        lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["lang"]), F.create_map(x["lang"], x["n"].cast("long"))),
+    )
+    return logs.select("*", *out, last.alias("language_files"))

@@ -17,13 +17,13 @@ from ..tables import scratch, small
 
 # Names of relations in imported graphs, by kind of edge.
 RELATIONS = {
-    "calls": "calls call invokes",
-    "imports": "imports import requires uses",
-    "depends_on": "depends_on dependency",
-    "contains": "contains has defines",
-    "implements": "implements extends inherits",
-    "similar_to": "similar_to related_to co_changed inferred",
-}
+    "calls": "calls", "call": "calls", "invokes": "calls",
+    "imports": "imports", "import": "imports", "requires": "imports", "uses": "imports",
+    "depends_on": "depends_on", "dependency": "depends_on",
+    "contains": "contains", "has": "contains", "defines": "contains",
+    "implements": "implements", "extends": "implements", "inherits": "implements",
+    "similar_to": "similar_to", "related_to": "similar_to", "co_changed": "similar_to", "inferred": "similar_to",
+}
 #: Edges up to which cycles are found on the driver (a module graph is small).
 MAX_DRIVER_EDGES = 200_000
 TRAVERSAL_LIMIT = 500
@@ -281,8 +281,7 @@ def traverse(nodes: DataFrame, edges: DataFrame, start: str, edge_types: list[st
 
 def edge_kind(relation: Column) -> Column:
     """Kind of edge for a relation's name; similar_to if unknown."""
-    names = {name: kind for kind, all_of in RELATIONS.items() for name in all_of.split()}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in RELATIONS.items() for x in pair])
     return F.coalesce(F.try_element_at(table, F.lower(relation)), F.lit("similar_to"))
 
 

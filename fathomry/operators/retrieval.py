@@ -109,22 +109,38 @@ def knn(vectors: DataFrame, query: list[float], k: int, metric: str = "l2", vec_
     return found.withColumn("score", V.search_score(F.col("distance")))
 
 
+#: Queries that are held at once.
+QUERY_BLOCK = 10_000
+
+
 def knn_matrix(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id") -> DataFrame:
-    """(query_id, id, distance): k nearest rows by l2 for many queries (a bounded set), in numpy.
+    """(query_id, id, distance, rank): k nearest rows by l2 for many queries, in numpy.
 
-    Each task multiplies its batches with the query matrix and keeps k rows per query and
-    batch; a window then keeps k per query.
+    Queries are taken in blocks of ``QUERY_BLOCK``, each a pass over the vectors.  A task
+    multiplies its batches with the block's matrix and keeps k rows per query and batch; a
+    window then keeps k per query.
     """
+    placed = scratch(ranked_whole(queries.select("query_id", "embedding"), F.col("query_id")), "knn-queries")
+    blocks = [_knn_block(vectors, placed.where(f"rank > {at} and rank <= {at + QUERY_BLOCK}"), k, vec_id) for at in range(0, max(placed.count(), 1), QUERY_BLOCK)]
+    near = blocks[0]
+    for b in blocks[1:]:
+        near = near.unionByName(b)
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str) -> DataFrame:
+    """(query_id, id, distance): k nearest rows in each batch for each query of a block."""
     import numpy as np
     import pandas as pd
 
-    rows = queries.orderBy("query_id").limit(10_000).collect()
+    rows = queries.orderBy("query_id").collect()  # at most QUERY_BLOCK
     ids, m = [r.query_id for r in rows], np.array([r.embedding for r in rows], dtype=np.float64)
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *queries.schema.fields]}
 
     def run(batches):
         for b in batches:
-            if not len(b):
+            if not len(b) or not len(ids):
                 continue
             x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
             d = np.sqrt(np.maximum((m * m).sum(1)[:, None] - 2 * m @ x.T + (x * x).sum(1)[None, :], 0))
@@ -133,9 +149,7 @@ def knn_matrix(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "ve
                 best = np.lexsort((own, d[i]))[:k]
                 yield pd.DataFrame({"query_id": q, "id": own[best], "distance": d[i][best]})
 
-    near = vectors.select(vec_id, "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds[vec_id]}, distance double")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vectors.select(vec_id, "embedding").mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds[vec_id]}, distance double")
 
 
 def similar(vectors: DataFrame, own: object, query: list[float], n: int = 3, vec_id: str = "vec_id") -> DataFrame:
@@ -190,12 +204,19 @@ def hybrid(keyword: DataFrame, vector_tables: list[DataFrame], k: int, scope: st
     return fused.orderBy(F.desc("score"), "id").limit(k)
 
 
+# Openings of questions, and words that ask for relations.
+QUESTIONS = ("how does", "how do", "how is", "what is", "what are", "what does", "why does", "why is", "explain")
+RELATION_WORDS = (
+    "call", "calls", "import", "imports", "depend", "depends", "dependency", "dependencies", "reference", "references", "caller", "callers", "callee", "callees",
+)
+
+
 def route(query: Column) -> Column:
     """struct(strategy, confidence, scope) of a query, by three rules; several make it hybrid."""
     q = F.trim(query)
     symbol = q.rlike("^[A-Z][a-zA-Z0-9]*$") | q.contains("::")
-    question = q.rlike(r"(?i)^(how does|how do|how is|what is|what are|what does|why does|why is|explain)\b")
-    graph = q.rlike(r"(?i)\b(calls?|imports?|depends?|dependenc|references?|callers?|callees?)\b")
+    question = q.rlike(rf"(?i)^({'|'.join(QUESTIONS)})\b")
+    graph = q.rlike(rf"(?i)\b({'|'.join(RELATION_WORDS)})\b")
     hits = symbol.cast("int") + question.cast("int") + graph.cast("int")
     mean = (symbol.cast("int") * 0.95 + question.cast("int") * 0.8 + graph.cast("int") * 0.7) / hits
     made = lambda s, c, scope: F.struct(F.lit(s).alias("strategy"), c.alias("confidence"), F.lit(scope).alias("scope"))

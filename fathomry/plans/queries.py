@@ -36,11 +36,11 @@ CONTAINS = """edges as (select 'region:' || n_regionkey src, 'nation:' || n_nati
   union all select 'nation:' || c_nationkey, 'customer:' || c_custkey from customer
   union all select 'customer:' || o_custkey, 'order:' || o_orderkey from orders
   union all select 'order:' || l_orderkey, 'part:' || l_partkey from lineitem)"""
-MODULES = """per as (select s_nationkey, c_nationkey, count(*) n, bool_or(l_returnflag = 'N') direct from lineitem join orders on l_orderkey = o_orderkey
+MODULES = """per as (select s_nationkey, c_nationkey, bool_or(l_returnflag = 'N') direct from lineitem join orders on l_orderkey = o_orderkey
   join supplier on l_suppkey = s_suppkey join customer on o_custkey = c_custkey group by all),
 module_edges as (select a.n_name src, b.n_name dst, case when direct then 'direct' else 'dynamic' end type from per
   join nation a on a.n_nationkey = s_nationkey join nation b on b.n_nationkey = c_nationkey
-  where n * 400 >= (select count(*) from lineitem) and s_nationkey <> c_nationkey)"""
+  where s_nationkey <> c_nationkey)"""
 LINKS = "links as (select page_id, regexp_extract(url, '://([^/?#]*)', 1) host, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) dep from pages)"
 BM25_QUERY = "the of the lyestion andReheer_ion"
 BM25 = f"""d as (select doc_id, {TERMS.format(x="text")} t from documents),
@@ -151,15 +151,15 @@ def hybrid_search(v: Views) -> DataFrame:
     return retrieval.hybrid(kw.withColumnRenamed("doc_id", "id"), tables, 20, "file").withColumn("score", F.round("score", 9))
 
 
-@query(r"""with t as (select conv_id, turn, trim(x) q from (select conv_id, turn, regexp_extract(text, '^[^.\n]*', 0) x from conversations)),
+@query(r"""with t as (select conv_id, turn, trim(text) q from conversations),
 f as (select *, (regexp_matches(q, '^[A-Z][a-zA-Z0-9]*$') or contains(q, '::'))::integer a,
   regexp_matches(q, '^(how does|how do|how is|what is|what are|what does|why does|why is|explain)\b', 'i')::integer b,
-  regexp_matches(q, '\b(calls?|imports?|depends?|dependenc|references?|callers?|callees?)\b', 'i')::integer c from t)
+  regexp_matches(q, '\b(calls?|imports?|depends?|dependency|dependencies|references?|callers?|callees?)\b', 'i')::integer c from t)
 select conv_id, turn, case when a + b + c = 0 then 'vector_search' when a + b + c > 1 then 'hybrid' when a = 1 then 'exact_symbol' when b = 1 then 'feature_search' else 'graph_traversal' end strategy,
   round(case when a + b + c = 0 then 0.6 else (a * 0.95 + b * 0.8 + c * 0.7) / (a + b + c) end::double, 6) confidence,
   case when a + b + c <> 1 then 'all' when a = 1 then 'symbols' when b = 1 then 'features' else 'all' end scope from f""")
 def route_query(v: Views) -> DataFrame:
-    rows = v.table("conversations").select("conv_id", "turn", retrieval.route(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("r"))
+    rows = v.table("conversations").select("conv_id", "turn", retrieval.route(F.col("text")).alias("r"))
     return rows.select("conv_id", "turn", "r.strategy", F.round(F.col("r.confidence").cast("double"), 6).alias("confidence"), "r.scope")
 
 
@@ -335,12 +335,20 @@ def resolve_start(v: Views) -> DataFrame:
     return graph.resolve_start(_graph(v)[0], "doc_7.txt")
 
 
-@query(r"""with e as (select 'user:' || user_id source, 'k:' || json_extract_string(props, '$.k') target, event_type relation from events),
-n as (select distinct source, target, case relation when 'click' then 'similar_to' when 'view' then 'similar_to' when 'error' then 'similar_to' when 'signup' then 'similar_to' else 'similar_to' end type from e)
-select type, count(*) n from n group by type""")
+# Names of relations and, in the same order, the kinds of edges that they are.
+RELATION_NAMES = "calls call invokes imports import requires uses depends_on dependency contains has defines implements extends inherits similar_to related_to co_changed inferred click".split()
+RELATION_KINDS = ["calls"] * 3 + ["imports"] * 4 + ["depends_on"] * 2 + ["contains"] * 3 + ["implements"] * 3 + ["similar_to"] * 5
+
+
+@query(f"""with e as (select 'user:' || user_id source, 'k:' || json_extract_string(props, '$.k') target, user_id % 20 r from events),
+n as (select distinct source, target, {RELATION_KINDS}[r + 1] type from e) select type, count(*) n from n group by type""")
 def graph_merge(v: Views) -> DataFrame:
+    """Edges with every relation's name in turn, in either case, and one unknown name."""
+    names = F.array(*[F.lit(x if k % 2 else x.upper()) for k, x in enumerate(RELATION_NAMES)])
     e = v.table("events").select(
-        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source"), F.concat(F.lit("k:"), F.get_json_object("props", "$.k")).alias("target"), F.col("event_type").alias("relation")
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("source"),
+        F.concat(F.lit("k:"), F.get_json_object("props", "$.k")).alias("target"),
+        F.element_at(names, (F.col("user_id") % 20 + 1).cast("int")).alias("relation"),
     )
     old_n, old_e = v.spark.createDataFrame([], "id string, type string, metadata map<string, string>"), v.spark.createDataFrame([], "source string, target string, type string")
     new = e.select(F.explode(F.array("source", "target")).alias("id")).distinct().select(F.col("id").alias("raw_id"), "id", F.lit("symbol").alias("type"), F.create_map(F.lit("name"), F.col("id")).alias("metadata"))
@@ -655,10 +663,18 @@ def public_api(v: Views) -> DataFrame:
     return api.select("file", F.size("exports").cast("long").alias("n"), F.sha2(listed, 256).alias("digest"))
 
 
-@query("""select o_orderkey, o_custkey::double files, floor(o_totalprice) symbols from orders""")
+@query("""select o_orderkey, o_custkey::bigint symbols, (o_custkey % 97)::bigint symbols_ms, (o_orderkey % 13)::bigint modules, (o_orderkey % 3)::bigint cycles,
+  (o_custkey % 11)::bigint summaries, (o_custkey % 7)::bigint cached, (o_orderkey % 50)::bigint embedded_files, (o_orderkey % 60)::bigint embedded_symbols,
+  case when o_orderkey % 2 = 0 then floor(o_totalprice)::bigint else -1 end total_ms, (o_custkey % 5)::bigint python_files from orders""")
 def build_log_stats(v: Views) -> DataFrame:
-    log = F.concat(F.lit("Indexed "), F.col("o_custkey").cast("string"), F.lit(" files, "), F.floor("o_totalprice").cast("string"), F.lit(" symbols"))
-    return dashboards.log_stats(v.table("orders").select("o_orderkey", log.alias("log"))).select("o_orderkey", "files", "symbols")
+    lines = (
+        "Found %d python files", "Found 3 go files", "Symbols: %d in %dms", "Dependencies: %d modules, %d cycles in 9ms", "Summaries: %d generated (%d cached) in 5ms", "Embeddings: %d files, %d symbols in 8ms",
+    )
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    head = F.format_string("\n".join("[build-knowledge] " + x for x in lines), *[x.cast("long") for x in (c % 5, c, c % 97, k % 13, k % 3, c % 11, c % 7, k % 50, k % 60)])
+    done = F.when(k % 2 == 0, F.format_string("\n[build-knowledge] Done in %dms total", F.floor("o_totalprice").cast("long"))).otherwise("")
+    found = dashboards.log_stats(v.table("orders").select("o_orderkey", F.concat(head, done).alias("log")))
+    return found.select("o_orderkey", "symbols", "symbols_ms", "modules", "cycles", "summaries", "cached", "embedded_files", "embedded_symbols", F.coalesce("total_ms", F.lit(-1)).alias("total_ms"), F.col("language_files")["python"].alias("python_files"))
 
 
 @query(f"with {LINKS}, m as (select unnest(['/zzz', '/the', '/and']) m, unnest([1, 2, 3]) o) select (select m from m where exists (select 1 from links where contains(lower(dep), m)) order by o limit 1) found")

@@ -148,13 +148,16 @@ def test_route(spark, query, want):
     assert r.own == (want[2] if want[1] >= 0.75 else "all")
 
 
-def test_knn(spark):
+def test_knn(spark, monkeypatch):
     rng = np.random.default_rng(0)
     m = rng.normal(size=(60, 8)).astype("float32")
     v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id int, embedding array<float>").repartition(3)
     d = np.sqrt(((m.astype(float) - m[5].astype(float)) ** 2).sum(1))
     assert [r.id for r in retrieval.knn(v, m[5].tolist(), 7).collect()] == np.argsort(d, kind="stable")[:7].tolist()
-    got = retrieval.knn_matrix(v, v.where("vec_id < 4").withColumnRenamed("vec_id", "query_id"), 5).collect()
+    queries = v.where("vec_id < 4").withColumnRenamed("vec_id", "query_id")
+    got = retrieval.knn_matrix(v, queries, 5).collect()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert sorted(retrieval.knn_matrix(v, queries, 5).collect()) == sorted(got)
     for q in range(4):
         want = np.argsort(np.sqrt(((m.astype(float) - m[q].astype(float)) ** 2).sum(1)), kind="stable")[:5].tolist()
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
@@ -204,9 +207,10 @@ def test_dashboards(spark, symbols):
     assert score(0, 0, 0, "rich") == 100 and score(20, 20, 10, "minimal") == 10 and score(1, 1, 1, "standard") == 80
     deps = spark.createDataFrame([("sass",), ("@prisma/client",), ("typeorm",)], "dep string")
     assert dashboards.detected(deps, dashboards.ORMS).first().found == "prisma"
-    logs = spark.createDataFrame([("Indexed 12 files, 30 symbols in 1.5s",)], "log string")
-    r = dashboards.log_stats(logs).first()
-    assert (r.files, r.symbols, r.modules, r.seconds) == (12.0, 30.0, None, 1.5)
+    lines = ["Found 7 go files", "Found 2 python files", "Symbols: 40 in 12ms", "Embeddings: 3 files, 10 symbols in 5ms", "Graphify: +1 node, +2 edges in 3ms", "Summaries: 6 generated (4 cached) in 8ms"]
+    r, empty = dashboards.log_stats(spark.createDataFrame([("\n".join("[build-knowledge] " + x for x in lines),), ("12 files, 30 symbols",)], "log string")).collect()
+    assert (r.symbols, r.symbols_ms, r.embedded_files, r.embedded_symbols, r.added_nodes, r.added_edges, r.nodes, r.summaries, r.cached, r.total_ms) == (40, 12, 3, 10, 1, 2, None, 6, 4, None)
+    assert r.language_files == {"go": 7, "python": 2} and empty.symbols is None and empty.language_files == {}
 
 
 def test_increments(spark, symbols):
