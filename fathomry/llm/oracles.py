@@ -120,19 +120,23 @@ from d left join n on n.doc_id = d.doc_id left join m on m.doc_id = d.doc_id
 def _op6() -> str:
     table = ", ".join(f"('{k}', '{v}')" for k, v in license_scan.known().items())
     rules = license_scan.RULES
-    cut = lambda pattern: f"string_split_regex(coalesce(text, ''), '{pattern}')"
+    cut = lambda pattern: f"string_split_regex(regexp_replace(coalesce(text, ''), '{license_scan.ABBREVIATION}', '\\1.\\2', 'g'), '{pattern}')"
     sentences = lambda c: f"(select doc_id, s.i, trim(regexp_replace(lower(s.l), '[^a-z0-9]+', ' ', 'g')) s from (select doc_id, unnest({cut(c)}) l, unnest(range(len({cut(c)}))) i from documents) s)"
     ids = lambda c: f"(select doc_id, list(ident order by i) ids from {sentences(c)} x join known k on k.s = x.s group by doc_id)"
-    plain = " union all ".join(f"select doc_id, '{r.license}' l from q where regexp_matches(seq, '{r.pattern}')" for r in rules if not r.unless)
-    rest = " union all ".join(
-        f"select doc_id, '{r.license}' l from q where regexp_matches(seq, '{r.pattern}') and doc_id not in (select doc_id from raw where l = '{r.unless}')" for r in rules if r.unless
-    )
+    fits = lambda r, more="": f"select doc_id, '{r.license}' l from q where (regexp_matches(sa, '{r.pattern}') or regexp_matches(sb, '{r.pattern}')){more}"
+    union = " union all ".join
+    plain = union(fits(r) for r in rules if not r.unless)
+    rest = union(fits(r, f" and doc_id not in (select doc_id from raw where l = '{r.unless}')") for r in rules if r.unless not in (None, license_scan.ANY))
+    last = union(fits(r, " and doc_id not in (select doc_id from most)") for r in rules if r.unless == license_scan.ANY)
     free = ", ".join(f"'{n}'" for k in license_scan.KIND.values() for n in k)
     copyleft = ", ".join(f"'{n}'" for n in license_scan.KIND["copyleft"])
     return f"""
 with known as (select * from (values {table}) t(s, ident)), a as {ids(license_scan.LINES)}, b as {ids(license_scan.WRAPPED)},
-q as (select doc_id, case when coalesce(len(a.ids), 0) >= coalesce(len(b.ids), 0) then a.ids else b.ids end ids, ',' || array_to_string(case when coalesce(len(a.ids), 0) >= coalesce(len(b.ids), 0) then a.ids else b.ids end, ',') || ',' seq from a full join b using (doc_id)),
-raw as ({plain}), al as (select distinct * from (select * from raw union all {rest})),
+ab as (select doc_id, coalesce(a.ids, []) x, coalesce(b.ids, []) y from a full join b using (doc_id)),
+o as (select doc_id, x, y, case when len(x) >= len(y) then x else y end base, case when len(x) >= len(y) then y else x end other from ab),
+q as (select doc_id, base || list_filter(other, lambda e, i: not list_contains(base, e) and list_position(other, e) = i) ids,
+  ',' || array_to_string(x, ',') || ',' sa, ',' || array_to_string(y, ',') || ',' sb from o),
+raw as ({plain}), most as (select * from raw union all {rest}), al as (select distinct * from (select * from most union all {last})),
 g as (select doc_id, string_agg(l, ',' order by l) licenses, case when bool_or(l not in ({free})) then 'restricted' when bool_or(l in ({copyleft})) then 'copyleft' else 'permissive' end kind from al group by doc_id)
 select d.doc_id, coalesce(len(ids), 0)::bigint n_sentences, coalesce(array_to_string(ids, ','), '') sentences, coalesce(licenses, '') licenses, coalesce(kind, 'none') kind
 from documents d left join q on q.doc_id = d.doc_id left join g on g.doc_id = d.doc_id

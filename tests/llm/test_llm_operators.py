@@ -324,8 +324,28 @@ def test_licenses(spark):
         5: ("Permission is hereby granted, free of charge.", "", "none"),
         6: ("Ungte mit. Mit und.", "", "none"),
         7: (license_scan.TEXTS["mit.grant"][0].replace(", ", ",\n") + ":\n\n" + license_scan.TEXTS["mit.notice"][0] + ".", "MIT", "permissive"),
-        8: ("# SPDX-License-Identifier: Apache-2.0\n# All rights reserved.", "Apache-2.0,Proprietary", "restricted"),
-    }
+        8: ("# SPDX-License-Identifier: Apache-2.0\n# All rights reserved.", "Apache-2.0", "permissive"),
+        9: ("Copyright 2020 Somebody.\nAll rights reserved.", "Proprietary", "restricted"),
+        10: ("Copyright (c) 2019, Somebody\nAll rights reserved.\n\n" + bsd, "BSD-2-Clause", "permissive"),
+        # Notices as their licences give them.
+        11: (
+            "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n"
+            "# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY.", "GPL-3.0", "copyleft",
+        ),
+        12: (
+            " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n"
+            " * version 2.1 of the License, or (at your option) any later version.\n", "LGPL-2.1", "copyleft",
+        ),
+        13: (
+            "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "MPL-2.0", "copyleft",
+        ),
+        14: ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007", "AGPL-3.0", "copyleft"),
+        # Three citations by line and one wrapped text: neither cut alone has both.
+        15: (
+            "Licensed under ISC License\nReleased under Apache 2.0\nLicensed under the Unlicense\nx.\n\n" + license_scan.TEXTS["mit.grant"][0].replace(", ", ",\n") + ":\n\n" + license_scan.TEXTS["mit.notice"][0].replace(" all ", "\nall ") + ".",
+            "Apache-2.0,ISC,MIT,Unlicense", "permissive",
+        ),
+    }
     got = license_scan.licenses(spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string"))
     assert {r.doc_id: (r.licenses, r.kind) for r in got.collect()} == {i: t[1:] for i, t in texts.items()}
 
