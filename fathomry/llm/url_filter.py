@@ -7,8 +7,18 @@ the words of host and path; positive log-odds block.
 
 The word counts cover the text of every page, are pre-aggregated and stay a written table:
 the substrings of the distinct pieces of hosts and paths are joined to it, so that each piece
-is split with the counts of all words it may hold.  The naive Bayes is fitted on labelled
-example URLs, a parameter.  Unknown words don't speak for either class.
+is split with the counts of all words it may hold.
+
+The naive Bayes is fitted on labelled URLs: a table (url, blocked) that the caller may give,
+or else the pages themselves, labelled by their content.  A page whose text has at least
+``LEAST_CUES`` different cue words of the blocked kind, and more of them than of the other,
+is a blocked example; the other way round an allowed one; any other page is none.  Their
+hosts' and paths' words are counted by class over all pages in written, pre-aggregated
+tables, joined to the words to score, so the vocabulary isn't cut and words that no list
+names are learned.  A host counts once for each of its words, however many pages it has: a
+host that holds a third of all pages would otherwise be the model.  The cue words themselves
+stand as a few example URLs beside them, so that without labelled pages they still decide.
+Words seen in no example don't speak for either class.
 
 Null URLs and those without ``://`` have an empty host and path, fit no rule, and are
 allowed by the method (no words).  Null page_ids stay null; repeated rows are judged alike;
@@ -40,8 +50,12 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-# Words of the labelled example URLs on which the naive Bayes is fitted by
-# default; words of both lists speak for neither side much.
+#: Different cue words of a class from which a page's text is an example of it.
+LEAST_CUES = 3
+SMOOTH = 0.5
+
+# Cue words of the two classes, in page texts and as example URLs; words of both
+# lists speak for neither side much.
 BLOCK_WORDS = """casino bets betting poker slots jackpot lottery roulette pills viagra pharmacy meds adult xxx porn escort cams nude loan payday
 credit replica watches warez crack keygen torrent phish spam ads adserver tracker popup clickbait seo backlinks malware scam free cheap win track prize bonus""".split()
 ALLOW_WORDS = """news world garden library books university research wiki article docs tutorial museum history school science recipes kitchen weather
@@ -126,32 +140,6 @@ def pieces(host: str, path: str) -> list[tuple[str, str]]:
     return [("host", p) for label in labels for p in re.findall(r"[a-z]+", label)] + [("path", p) for p in re.findall(r"[a-z]+", path.lower())]
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Words of host and path, marked by where they stand."""
-    return [f"{where}:{w}" for where, piece in pieces(host, path) for w in segment(piece)]
-
-
-class Bayes:
-    """Multinomial naive Bayes over words; a word seen in the host counts half for paths and the reverse."""
-
-    def __init__(self, examples: list[tuple[list[str], bool]], smooth: float = 0.5):
-        counts = {True: Counter(), False: Counter()}
-        for words, bad in examples:
-            for w in words:
-                where, _, word = w.partition(":")
-                counts[bad][w] += 1
-                counts[bad][("path:" if where == "host" else "host:") + word] += 0.5
-        vocabulary = set(counts[True]) | set(counts[False])
-        total = {k: sum(c.values()) + smooth * (len(vocabulary) + 1) for k, c in counts.items()}
-        self.odds = {w: math.log((counts[True][w] + smooth) / total[True]) - math.log((counts[False][w] + smooth) / total[False]) for w in vocabulary}
-        bad = sum(b for _, b in examples)
-        # Most pages are fine: the prior is held at or below one in three.
-        self.prior = math.log(min(max(bad, 1) / max(len(examples) - bad, 1), 0.5))
-
-    def __call__(self, words: list[str]) -> float:
-        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
-
-
 def _example(url: str) -> tuple[str, str]:
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
     return (m[1].lower(), m[2]) if m else ("", "")
@@ -177,39 +165,86 @@ def split_pieces(rows: DataFrame, counts: DataFrame, total: int, extra: dict[str
     return scratch(piece.join(own, "id", "left").select("piece", "known", "ns").mapInPandas(run, "piece string, words array<string>"), "url-splits")
 
 
-def judge(pages: DataFrame, rules=RULES, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, words, score (log-odds of block)."""
+def content_labels(pages: DataFrame) -> DataFrame:
+    """(url, blocked) of the pages whose text tells; repeats stay."""
+    text = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"<[^>]*>", " ")
+    both = set(BLOCK_WORDS) & set(ALLOW_WORDS)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{2,})"), F.lit(1)))
+    kinds = lambda own: F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in sorted(set(own) - both)])))
+    seen = pages.where("url is not null").select("url", words.alias("w")).select("url", kinds(BLOCK_WORDS).alias("bad"), kinds(ALLOW_WORDS).alias("good"))
+    told = (F.greatest("bad", "good") >= LEAST_CUES) & (F.col("bad") != F.col("good"))
+    return seen.where(told).select("url", (F.col("bad") > F.col("good")).alias("blocked"))
+
+
+def with_pieces(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` columns of rows with host and path, and pieces (where:letters)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(pieces=[[f"{where}:{p}" for where, p in pieces(h, q)] for h, q in zip(b["host"], b["path"], strict=True)])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows.select(*keep).mapInPandas(run, f"{kinds}, pieces array<string>")
+
+
+def odds(examples: DataFrame, split: DataFrame) -> DataFrame:
+    """(token, odds): log-odds of block, smoothed, of each word seen in the examples' hosts or paths.
+
+    examples: (host, path, blocked, pieces).  A word in a host speaks half for paths, and the
+    reverse.
+    """
+    each = examples.select("host", "blocked", F.explode("pieces").alias("p")).distinct()
+    cut = each.select("host", "blocked", F.substring_index("p", ":", 1).alias("where"), F.substring_index("p", ":", -1).alias("piece")).join(split, "piece")
+    words = cut.select("host", "blocked", "where", F.explode("words").alias("w")).distinct()
+    own = words.select("blocked", F.concat_ws(":", "where", "w").alias("token"), F.lit(1.0).alias("c"))
+    across = words.select("blocked", F.concat(F.when(F.col("where") == "host", "path:").otherwise("host:"), "w").alias("token"), F.lit(0.5).alias("c"))
+    counts = own.unionByName(across).groupBy("token").agg(F.sum(F.when(F.col("blocked"), F.col("c")).otherwise(0.0)).alias("bad"), F.sum(F.when(F.col("blocked"), 0.0).otherwise(F.col("c"))).alias("good"))
+    counts = scratch(counts, "url-tokens")
+    whole = counts.agg(F.coalesce(F.sum("bad"), F.lit(0.0)).alias("b"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"), (F.count(F.lit(1)) + 1).alias("v"))
+    ln = lambda c, t: F.log(F.col(c) + SMOOTH) - F.log(F.col(t) + SMOOTH * F.col("v"))
+    return counts.join(F.broadcast(whole)).select("token", (ln("bad", "b") - ln("good", "g")).alias("odds"))  # one row
+
+
+def prior(examples: DataFrame) -> float:
+    """Log-odds of block by the hosts of the examples.  Most pages are fine: held at or below one in two."""
+    n = {r.blocked: r.n for r in examples.groupBy("blocked").agg(F.count_distinct("host").alias("n")).collect()}
+    return math.log(min(max(n.get(True, 0), 1) / max(n.get(False, 0), 1), 0.5))
+
+
+def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, words, score (log-odds of block).
+
+    labelled: (url, blocked); by default what the pages' contents tell.
+    """
+    spark = pages.sparkSession
     counts = word_counts(pages)
     extra: Counter[str] = Counter()
     for url in [*blocked, *allowed]:  # the examples' words are words, however rare they are
         for w in re.findall(r"[a-z]{2,}", " ".join(_example(url))):
             extra[w] += 5
     total = (counts.agg(F.sum("n")).first()[0] or 0) + sum(extra.values())
-    shown = {p for u in [*blocked, *allowed] for _, p in pieces(*_example(u))}
-    near = {p[a:b] for p in shown for a in range(len(p)) for b in range(a + 2, min(len(p), a + LONGEST) + 1)}
-    found = counts.join(F.broadcast(pages.sparkSession.createDataFrame([(w,) for w in sorted(near)], "word string")), "word").collect()
-    segment = Segmenter(dict(Counter({r.word: r.n for r in found}) + extra), total)
-    bayes = Bayes([(tokens(*_example(u), segment), bad) for bad, urls in ((True, blocked), (False, allowed)) for u in urls])
-
-    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(pieces=[[f"{where}:{p}" for where, p in pieces(h, q)] for h, q in zip(b["host"], b["path"], strict=True)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [[] if w is None else list(w) for w in b["words"]]
-            yield b.assign(words=[" ".join(w) for w in words], score=[bayes(w) for w in words])
-
-    kind = pages.select("page_id").schema["page_id"].dataType.simpleString()
     host, path = host_and_path(F.col("url"))
-    cut = pages.select("page_id", host.alias("host"), path.alias("path")).mapInPandas(cut_up, f"page_id {kind}, host string, path string, pieces array<string>")
-    cut = scratch(cut.withColumn("__row", F.monotonically_increasing_id()), "url-cut")
-    split = split_pieces(cut, counts, total, dict(extra))
+    shown = spark.createDataFrame([(u, bad) for bad, urls in ((True, blocked), (False, allowed)) for u in urls], "url string, blocked boolean")
+    given = (content_labels(pages) if labelled is None else labelled.select("url", "blocked")).unionByName(shown).where("url is not null and blocked is not null")
+    examples = scratch(with_pieces(given.select(host.alias("host"), path.alias("path"), "blocked").distinct(), "host", "path", "blocked"), "url-examples")
+    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
+    cut = scratch(with_pieces(rows, "page_id", "host", "path").withColumn("__row", F.monotonically_increasing_id()), "url-cut")
+    split = split_pieces(cut.select("pieces").unionByName(examples.select("pieces")), counts, total, dict(extra))
+    split = small(split, split.count())
+    table = scratch(odds(examples, split), "url-odds")
+    base = prior(examples)
     each = cut.select("__row", F.posexplode("pieces").alias("at", "p")).select("__row", "at", F.substring_index("p", ":", 1).alias("where"), F.substring_index("p", ":", -1).alias("piece"))
-    marked = each.join(small(split, split.count()), "piece").select("__row", F.struct("at", F.expr("transform(words, w -> concat(where, ':', w))").alias("w")).alias("x"))
-    words = marked.groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"])).alias("words"))
-    whole = cut.drop("pieces").join(words, "__row", "left").select("page_id", "host", "path", "words")
-    scored = whole.mapInPandas(run, f"page_id {kind}, host string, path string, words string, score double")
-    fit = scored.withColumn("r", rule_of(F.col("host"), F.col("path"), list(rules)))
+    words = each.join(split, "piece").select("__row", "at", F.posexplode(F.expr("transform(words, w -> concat(where, ':', w))")).alias("nth", "token"))
+    known = words.join(small(table, table.count()), "token", "left")
+    own = known.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "nth", "token", F.coalesce("odds", F.lit(0.0)).alias("odds")))).alias("l"))
+    whole = cut.drop("pieces").join(own, "__row", "left").select(
+        "page_id",
+        "host",
+        "path",
+        F.coalesce(F.array_join(F.transform("l", lambda x: x["token"]), " "), F.lit("")).alias("words"),
+        # Added up in the words' order, so that rounding doesn't depend on how rows are dealt.
+        F.coalesce(F.aggregate("l", F.lit(base), lambda a, x: a + x["odds"]), F.lit(base)).alias("score"),
+    )
+    fit = whole.withColumn("r", rule_of(F.col("host"), F.col("path"), list(rules)))
     verdict = F.coalesce("r.verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return fit.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "words", "score")

@@ -462,6 +462,65 @@ def test_url_filter_held_out(spark):
     assert [got[k] for k in range(6)] == ["block"] * 3 + ["allow"] * 3
 
 
+def test_url_filter_learns_from_contents(spark):
+    """Hosts of words that no list names, half of them never seen with a telling text."""
+    rng = random.Random(3)
+    bad, good = (["".join(rng.choices("bdfgklmnprstvz", k=7)) for _ in range(8)] for _ in range(2))
+    telling = {True: "casino bets jackpot", False: "library history museum"}
+    rows = []
+    for own, kind in ((bad, True), (good, False)):
+        for k in range(60):
+            a, b = rng.sample(own, 2)
+            seen = k < 30  # the others come without a telling text
+            rows.append((len(rows), f"http://{a}{b}.info/x{k}", (telling[kind] if seen else "plain words") + " " + " ".join(own) * 3, kind, seen))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    unseen = [r for r in rows if not r[4]]
+    assert sum((got[r[0]] == "block") == r[3] for r in unseen) >= 0.95 * len(unseen)
+    given = spark.createDataFrame([(r[1], not r[3]) for r in rows if r[4]], "url string, blocked boolean")
+    turned = {r.page_id: r.verdict for r in url_filter.judge(pages, labelled=given).collect()}
+    assert sum((turned[r[0]] == "block") != r[3] for r in unseen) >= 0.95 * len(unseen)
+
+
+def test_url_query(spark):
+    """Hosts, paths, rules, words and scores of the whole query against a plain version."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    counts = Counter(w for _, _, h in rows for w in re.findall("[a-z]{2,}", re.sub("<[^>]*>", " ", h or "").lower()) if len(w) <= url_filter.LONGEST)
+    shown = [(u, True) for u in url_filter.BLOCKED] + [(u, False) for u in url_filter.ALLOWED]
+    parts = lambda u: (lambda m: (m[1].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m[2]) if m else ("", ""))(re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or ""))
+    for u, _ in shown:
+        for w in re.findall("[a-z]{2,}", " ".join(parts(u))):
+            counts[w] += 5
+    segment = url_filter.Segmenter(counts)
+    both = set(url_filter.BLOCK_WORDS) & set(url_filter.ALLOW_WORDS)
+    examples = list(shown)
+    for _, u, h in rows:
+        w = set(re.findall("[a-z]{2,}", re.sub("<[^>]*>", " ", h or "").lower()))
+        b, g = len(w & set(url_filter.BLOCK_WORDS) - both), len(w & set(url_filter.ALLOW_WORDS) - both)
+        if u and max(b, g) >= url_filter.LEAST_CUES and b != g:
+            examples.append((u, b > g))
+    words = lambda u: [f"{where}:{w}" for where, p in url_filter.pieces(*parts(u)) for w in segment(p)]
+    tally = {True: Counter(), False: Counter()}
+    for host, bad, token in {(parts(u)[0], bad, t) for u, bad in examples for t in words(u)}:
+        where, _, w = token.partition(":")
+        tally[bad][token] += 1
+        tally[bad][("path:" if where == "host" else "host:") + w] += 0.5
+    seen = set(tally[True]) | set(tally[False])
+    size = {k: sum(c.values()) + 0.5 * (len(seen) + 1) for k, c in tally.items()}
+    odds = {t: math.log((tally[True][t] + 0.5) / size[True]) - math.log((tally[False][t] + 0.5) / size[False]) for t in seen}
+    hosts = {k: len({parts(u)[0] for u, bad in examples if bad == k}) for k in (True, False)}
+    base = math.log(min(max(hosts[True], 1) / max(hosts[False], 1), 0.5))
+    for r in queries.op7_url_filter(spark, SF).collect():
+        url = next(u for i, u, _ in rows if i == r.page_id)
+        host, path = parts(url)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        score = base + sum(odds.get(t, 0.0) for t in words(url))
+        rule = max(fits) if fits else None
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule[1])
+        assert r.words == " ".join(words(url)) and abs(r.score - score) < 1e-9
+        assert r.verdict == (rule[2] if rule else "block" if score > 0 else "allow")
+
+
 def test_lm_scores(spark):
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choices(["the", "cat", "sat", "on", "a", "mat", "é"], k=rng.randrange(0, 60)))) for k in range(120)] + [(500, "mat on the qqq zzz"), (501, "")]
