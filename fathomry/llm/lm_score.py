@@ -2,15 +2,19 @@
 
 A small window network predicts every token of a text from the two tokens before and the
 two after it, with the token itself masked; the sum of the log-probabilities scores the
-document.  The probability of a token is that of its class, from the network (a sum of
-position-wise embeddings, tanh, softmax over classes), times that of the token in its
-class, from counts.
+document.  The network (a sum of position-wise embeddings, tanh) has a softmax in two
+levels: over classes, and over the words of a class.  The ``WORDS`` most frequent words are
+cut into ``OWN`` classes of about equal mass by their counts, and the network predicts the
+word in its class from both sides too.  Rarer words share ``SHARED`` classes by their
+ending; the network predicts the class, and counts give the word in it.
 
 All of it comes from all documents: every token is counted (partial counts by task, summed
 after the shuffle), and every task trains the network in numpy on all of its tokens from a
-common start; the parameters are then averaged, weighted by tokens.  What is gathered grows
-with the input, by tasks; only the network and its coder, of fixed size, reach the driver:
-the most frequent words (``KNOWN`` at most) with their counts, 48 class totals and some 130,000 parameters.
+common start; the parameters are then averaged, weighted by tokens, in a tree of written
+tables: each task of a level averages the models in its share of files.  What is gathered
+grows with the input, by tasks; only the network and its coder, of fixed size, reach the
+driver: the most frequent words (``KNOWN`` at most) with their counts, 48 class totals and
+some 200,000 parameters.
 
 Every word keeps its count: those beyond ``KNOWN`` are joined, by document, to the written
 counts of all words, so ``KNOWN`` bounds what a worker holds and not what a score rests on.
@@ -35,16 +39,19 @@ from pyspark.sql import functions as F
 from .common import most_frequent, scratch
 
 KNOWN = 20_000
-#: Classes of the most frequent words, one each, and of all others, by their ending.
-OWN, SHARED = 48, 48
+#: Words that the network predicts one by one, their classes, and classes of all others by ending.
+WORDS, OWN, SHARED = 4096, 32, 48
 CLASSES = OWN + SHARED
+#: Models that one task averages at most in the end; more are averaged in a tree before.
+MODELS = 32
 #: Input rows of words of their own, and rows that other words share by hash.
 ROWS_OWN, ROWS_SHARED = 1000, 1048
 ROWS = ROWS_OWN + ROWS_SHARED + 1
 PAD = ROWS - 1
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
-BATCH = 8192
+#: Tokens of a step: it starts small and doubles every ``DOUBLE`` steps, so that little text trains as well.
+BATCH, FIRST_BATCH, DOUBLE = 8192, 256, 48
 RATE = 0.15
 #: Bound on output weights; 16 of them times tanh keep scores below 50.
 LARGEST = 3.0
@@ -86,9 +93,16 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Codes of words and, by code, the input row, the class and the log-probability in it."""
+    """Codes of words and, by code, the input row, the class and the log-probability in it.
+
+    Codes below ``own`` are words that the network predicts; class c has those from cuts[c]
+    to cuts[c + 1], and ``bias`` starts at the logarithms of their counts.
+    """
 
     known: dict[bytes, int]
+    own: int
+    cuts: np.ndarray
+    bias: np.ndarray
     row: np.ndarray
     cls: np.ndarray
     logp: np.ndarray
@@ -100,29 +114,36 @@ class Lexicon:
         """top: words by falling count; totals: tokens and distinct words of each ending."""
         mass = np.array([totals.get(e, (0, 0))[0] for e in range(SHARED)], float)
         kinds = np.array([totals.get(e, (0, 0))[1] for e in range(SHARED)], float)
-        for w, n in top[:OWN]:
+        own = min(WORDS, len(top))
+        for w, n in top[:own]:
             mass[ending(w)] -= n
             kinds[ending(w)] -= 1
         rest, left = mass.copy(), kinds.copy()
-        for w, n in top[OWN:]:
+        for w, n in top[own:]:
             rest[ending(w)] -= n
             left[ending(w)] -= 1
         whole = np.maximum(mass + 1, 1)  # one more for words never seen
+        n_own = np.array([n for _, n in top[:own]], float)
+        upto = np.cumsum(n_own) - n_own / 2
+        of_own = np.minimum((upto * OWN / max(n_own.sum(), 1)).astype(int), OWN - 1)  # rises with the rank
+        cuts = np.searchsorted(of_own, np.arange(OWN + 1))
         size = len(top) + ROWS_SHARED * SHARED
         row, cls, logp = np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size)
+        cls[:own] = of_own
         for k, (w, n) in enumerate(top):
             row[k] = k if k < ROWS_OWN else ROWS_OWN + zlib.crc32(w) % ROWS_SHARED
-            cls[k] = k if k < OWN else OWN + ending(w)
-            logp[k] = 0.0 if k < OWN else math.log(n / whole[ending(w)])
+            if k >= own:
+                cls[k] = OWN + ending(w)
+                logp[k] = math.log(n / whole[ending(w)])
         other = np.arange(ROWS_SHARED * SHARED)
         row[len(top) :] = ROWS_OWN + other // SHARED
         cls[len(top) :] = OWN + other % SHARED
         logp[len(top) :] = np.log(np.maximum(rest + 1, 1) / whole / (np.maximum(left, 0) + 1))[other % SHARED]
         counts = np.ones(CLASSES)
-        for k, (_, n) in enumerate(top[:OWN]):
-            counts[k] += n
+        np.add.at(counts, of_own, n_own)
         counts[OWN:] += np.maximum(mass, 0)
-        return Lexicon({w: k for k, (w, _) in enumerate(top)}, row, cls, logp, np.log(counts / counts.sum()), whole)
+        bias = np.log(n_own / np.maximum(np.bincount(of_own, n_own, OWN), 1)[of_own]) if own else np.zeros(0)
+        return Lexicon({w: k for k, (w, _) in enumerate(top)}, own, cuts, bias.astype(np.float32), row, cls, logp, np.log(counts / counts.sum()), whole)
 
     def without_other_counts(self) -> Lexicon:
         """With words that have no code of their own as if counted once; the logarithm of their count is to be added."""
@@ -154,58 +175,105 @@ class Network:
     e: np.ndarray  # position, input row, width
     w: np.ndarray  # width, class
     b: np.ndarray  # class
+    u: np.ndarray  # width, word
+    v: np.ndarray  # word
 
     @staticmethod
-    def start(prior: np.ndarray, seed: int = 3) -> Network:
+    def start(lexicon: Lexicon, seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
-        return Network(rng.normal(0, 0.3, (len(OFFSETS), ROWS, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), prior.astype(np.float32))
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.e.ravel(), self.w.ravel(), self.b.ravel()])
+        return Network(
+            rng.normal(0, 0.3, (len(OFFSETS), ROWS, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), lexicon.prior.astype(np.float32),
+            rng.normal(0, 0.1, (WIDTH, lexicon.own)).astype(np.float32), lexicon.bias.copy(),
+        )
 
-    @staticmethod
-    def unflat(v: np.ndarray) -> Network:
-        n, m = len(OFFSETS) * ROWS * WIDTH, WIDTH * CLASSES
-        v = v.astype(np.float32)
-        return Network(v[:n].reshape(len(OFFSETS), ROWS, WIDTH), v[n : n + m].reshape(WIDTH, CLASSES), v[n + m :])
+    def parts(self) -> list[np.ndarray]:
+        return [self.e, self.w, self.b, self.u, self.v]
 
-    def logits(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and class scores for rows of context (n, positions)."""
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parts()])
+
+    def unflat(self, flat: np.ndarray) -> Network:
+        """A network of this one's shape with other parameters."""
+        at, out = 0, []
+        for p in self.parts():
+            out.append(flat[at : at + p.size].astype(np.float32).reshape(p.shape))
+            at += p.size
+        return Network(*out)
+
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        """Hidden values for rows of context (n, positions)."""
         z = self.e[0][around[:, 0]]
         for k in range(1, len(OFFSETS)):
             z += self.e[k][around[:, k]]
-        np.tanh(z, out=z)
-        y = z @ self.w
-        y += self.b
-        return z, y
+        return np.tanh(z, out=z)
 
-    def log_probability(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of each target class; scores are bounded (``LARGEST``), so exp doesn't overflow."""
-        _, y = self.logits(around)
-        own = y[np.arange(len(target)), target]
+    def log_probability(self, around: np.ndarray, cls: np.ndarray, code: np.ndarray, lexicon: Lexicon) -> np.ndarray:
+        """Of each token's class, and of the token in it where the network predicts it; scores are bounded (``LARGEST``), so exp doesn't overflow."""
+        h = self.hidden(around)
+        y = h @ self.w
+        y += self.b
+        out = y[np.arange(len(cls)), cls]
         np.exp(y, out=y)
-        return own - np.log(y.sum(axis=1))
+        out -= np.log(y.sum(axis=1))
+        for rows, lo, hi in by_class(cls, lexicon):
+            y = h[rows] @ self.u[:, lo:hi]
+            y += self.v[lo:hi]
+            out[rows] += y[np.arange(len(rows)), code[rows] - lo]
+            np.exp(y, out=y)
+            out[rows] -= np.log(y.sum(axis=1))
+        return out
+
+
+def by_class(cls: np.ndarray, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Tokens of each class of several predicted words: their places, and the class's codes."""
+    order = np.argsort(cls, kind="stable")
+    ends = np.searchsorted(cls[order], np.arange(OWN + 1))
+    for c in range(OWN):
+        lo, hi = int(lexicon.cuts[c]), int(lexicon.cuts[c + 1])
+        if hi - lo > 1 and ends[c + 1] > ends[c]:
+            yield order[ends[c] : ends[c + 1]], lo, hi
 
 
 class Trainer:
     """Gradient steps with per-parameter rates (Adagrad) on batches of tokens."""
 
-    def __init__(self, net: Network):
-        self.net = Network(net.e.copy(), net.w.copy(), net.b.copy())
-        self.ge, self.gw, self.gb = np.full(net.e.shape, 1e-2, np.float32), np.full_like(net.w, 1e-2), np.full_like(net.b, 1e-2)
-        self.seen = 0
-
-    def step(self, around: np.ndarray, target: np.ndarray) -> None:
-        net, n = self.net, len(target)
-        h, d = net.logits(around)
+    def __init__(self, net: Network, lexicon: Lexicon):
+        self.net, self.lexicon = Network(*[p.copy() for p in net.parts()]), lexicon
+        self.ge, self.gw, self.gb, self.gu, self.gv = (np.full(p.shape, 1e-2, np.float32) for p in net.parts())
+        self.seen = self.steps = 0
+
+    def learn(self, around: np.ndarray, code: np.ndarray) -> None:
+        cls, at = self.lexicon.cls[code], 0
+        while at < len(code):
+            to = at + min(BATCH, FIRST_BATCH << min(self.steps // DOUBLE, 16))
+            self.step(around[at:to], cls[at:to], code[at:to])
+            at = to
+
+    def step(self, around: np.ndarray, cls: np.ndarray, code: np.ndarray) -> None:
+        net, n = self.net, len(cls)
+        h = net.hidden(around)
+        d = h @ net.w
+        d += net.b
         np.exp(d, out=d)
         d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(n), target] -= 1
+        d[np.arange(n), cls] -= 1
         d /= n
-        gh = (d @ net.w.T) * (1 - h * h)
-        for p, g, total in ((net.w, h.T @ d, self.gw), (net.b, d.sum(axis=0), self.gb)):
-            total += g * g
-            p -= RATE * g / np.sqrt(total)
+        gh = d @ net.w.T
+        for rows, lo, hi in by_class(cls, self.lexicon):
+            own, u = h[rows], net.u[:, lo:hi]
+            y = own @ u
+            y += net.v[lo:hi]
+            np.exp(y, out=y)
+            y /= y.sum(axis=1, keepdims=True)
+            y[np.arange(len(rows)), code[rows] - lo] -= 1
+            y /= n
+            gh[rows] += y @ u.T
+            self._move(u, own.T @ y, self.gu[:, lo:hi])
+            self._move(net.v[lo:hi], y.sum(axis=0), self.gv[lo:hi])
+            np.clip(u, -LARGEST, LARGEST, out=u)
+        gh *= 1 - h * h
+        self._move(net.w, h.T @ d, self.gw)
+        self._move(net.b, d.sum(axis=0), self.gb)
         np.clip(net.w, -LARGEST, LARGEST, out=net.w)
         parts = np.ascontiguousarray(gh.T, dtype=float)
         g = np.empty((len(OFFSETS), WIDTH, ROWS), np.float32)
@@ -213,16 +281,18 @@ class Trainer:
             ids = np.ascontiguousarray(around[:, k], dtype=np.intp)
             for j in range(WIDTH):
                 g[k, j] = np.bincount(ids, parts[j], ROWS)
-        g = g.transpose(0, 2, 1)
-        self.ge += g * g
-        g *= RATE
-        g /= np.sqrt(self.ge)
-        net.e -= g
+        self._move(net.e, g.transpose(0, 2, 1), self.ge)
         self.seen += n
+        self.steps += 1
+
+    @staticmethod
+    def _move(p: np.ndarray, g: np.ndarray, total: np.ndarray) -> None:
+        total += g * g
+        p -= RATE * g / np.sqrt(total)
 
 
-def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
-    """By some texts at a time: context rows, classes and in-class log-probabilities of all tokens, and tokens by text."""
+def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """By some texts at a time: context rows and codes of all tokens, and tokens by text."""
     held: list[np.ndarray] = []
     sizes: list[int] = []
     held_tokens = 0
@@ -237,7 +307,7 @@ def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarra
         place = np.concatenate(places) if places else np.empty(0, int)
         code = np.concatenate(held) if held else np.empty(0, np.int64)
         around = np.stack([rows[place + o] for o in OFFSETS], axis=1)
-        return around, lexicon.cls[code], lexicon.logp[code], list(sizes)
+        return around, code, list(sizes)
 
     for t in texts:
         words = tokens(t)
@@ -252,25 +322,37 @@ def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarra
 
 
 def train(docs: DataFrame, lexicon: Lexicon) -> Network:
-    first = Network.start(lexicon.prior)
+    first = Network.start(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer, coder = Trainer(first), lexicon.coder()
+        trainer, coder = Trainer(first, lexicon), lexicon.coder()
         for b in batches:
-            for around, cls, _, _ in contexts(b["text"], lexicon, coder):
-                for k in range(0, len(cls), BATCH):
-                    trainer.step(around[k : k + BATCH], cls[k : k + BATCH])
+            for around, code, _ in contexts(b["text"], lexicon, coder):
+                trainer.learn(around, code)
         if trainer.seen:
-            v = trainer.net.flat().astype(float)
-            yield pd.DataFrame({"k": np.arange(len(v), dtype=np.int32), "v": v * trainer.seen, "n": float(trainer.seen)})
-
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "k int, v double, n double")
-    rows = parts.groupBy("k").agg(F.round(F.sum("v") / F.sum("n"), 6).alias("v")).toPandas()  # as many as parameters
-    if not len(rows):
-        return first
-    v = first.flat()
-    v[rows["k"].to_numpy()] = rows["v"].to_numpy()
-    return Network.unflat(v)
+            yield pd.DataFrame({"v": [trainer.net.flat().tobytes()], "n": [float(trainer.seen)]})
+
+    models = scratch(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "v binary, n double"), "lm-models")
+    while True:
+        n = models.count()
+        if n <= MODELS:
+            break
+        less = scratch(models.mapInPandas(_average, "v binary, n double"), "lm-models")
+        if less.count() == n:  # one model a task already
+            less = scratch(models.repartition(max(n // MODELS, 1)).mapInPandas(_average, "v binary, n double"), "lm-models")
+        models = less
+    last = models.coalesce(1).mapInPandas(_average, "v binary, n double").collect()  # one row
+    return first.unflat(np.round(np.frombuffer(last[0].v, np.float32), 6)) if last else first
+
+
+def _average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One model of all of a task, weighted by tokens."""
+    total, n = 0.0, 0.0
+    for b in batches:
+        for v, k in zip(b["v"], b["n"], strict=True):
+            total, n = total + np.frombuffer(v, np.float32).astype(float) * k, n + k
+    if n:
+        yield pd.DataFrame({"v": [(total / n).astype(np.float32).tobytes()], "n": [n]})
 
 
 def lexicon_of(counts: DataFrame, known: int) -> Lexicon:
@@ -286,9 +368,10 @@ def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
 
 def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[list[int], list[float]]:
     sizes, sums = [], []
-    for around, cls, logp, part in contexts(texts, lexicon, coder):
-        cuts = range(0, len(cls), BATCH)
-        each = np.concatenate([logp[:0], *(net.log_probability(around[k : k + BATCH], cls[k : k + BATCH]) + logp[k : k + BATCH] for k in cuts)])
+    for around, code, part in contexts(texts, lexicon, coder):
+        cls, logp = lexicon.cls[code], lexicon.logp[code]
+        cut = [slice(k, k + BATCH) for k in range(0, len(cls), BATCH)]
+        each = np.concatenate([logp[:0], *(net.log_probability(around[c], cls[c], code[c], lexicon) + logp[c] for c in cut)])
         total = np.concatenate([[0.0], np.cumsum(each)])
         ends = np.cumsum(part)
         sums += (total[ends] - total[ends - part]).tolist()
@@ -296,6 +379,12 @@ def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[l
     return sizes, sums
 
 
+def unigram_sum(texts, lexicon: Lexicon, coder: _Coder) -> float:
+    """What counts alone give: the measure to hold the network against."""
+    own = np.concatenate([lexicon.bias, np.zeros(len(lexicon.cls) - lexicon.own)])
+    return sum(float((lexicon.prior[lexicon.cls[c]] + lexicon.logp[c] + own[c]).sum()) for _, c, _ in contexts(texts, lexicon, coder))
+
+
 def pseudo_likelihood(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, n_tokens, pll, mean_pll."""
     counts = scratch(count_words(docs), "lm-counts")

@@ -534,26 +534,54 @@ def test_lm_scores(spark):
         total = 0.0
         for k, c in enumerate(codes):
             z = sum(net.e[j][lexicon.row[codes[k + o]] if 0 <= k + o < len(codes) else lm_score.PAD] for j, o in enumerate(lm_score.OFFSETS))
-            y = np.tanh(z) @ net.w + net.b
+            h = np.tanh(z)
+            y = h @ net.w + net.b
             total += float(y[lexicon.cls[c]] - y.max() - np.log(np.exp(y - y.max()).sum())) + lexicon.logp[c]
+            if c < lexicon.own:
+                lo, hi = lexicon.cuts[lexicon.cls[c]], lexicon.cuts[lexicon.cls[c] + 1]
+                y = h @ net.u[:, lo:hi] + net.v[lo:hi]
+                total += float(y[c - lo] - np.log(np.exp(y).sum()))
         assert n == len(w) and abs(s - total) < 1e-3 * max(1, n)
 
 
+def test_lm_beats_counts_on_held_out_texts(spark):
+    """Perplexity of texts that the network wasn't trained on, against that of counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    own, other = docs.where("doc_id % 5 != 0"), [r.text for r in docs.where("doc_id % 5 = 0").collect()]
+    lexicon, net = lm_score.fit(own)
+    coder = lexicon.coder()
+    n, sums = lm_score.score_texts(other, lexicon, net, coder)
+    counts = lm_score.unigram_sum(other, lexicon, coder)
+    print("perplexity", math.exp(-sum(sums) / sum(n)), "of counts", math.exp(-counts / sum(n)))
+    assert sum(sums) > counts + 0.02 * sum(n)
+
+
+def test_lm_models_are_averaged_in_a_tree(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join(rng.choices("abcdef", k=20))) for k in range(40)], "doc_id long, text string").repartition(8)
+    lexicon, net = lm_score.fit(docs)
+    monkeypatch.setattr(lm_score, "MODELS", 3)
+    _, tree = lm_score.fit(docs)
+    assert np.abs(net.flat() - tree.flat()).max() < 1e-4
+
+
 def test_lm_learns_order():
     rng = random.Random(1)
     texts = [" ".join(w for _ in range(30) for w in rng.choice([("the", "cat"), ("a", "mat")])) for _ in range(200)]
     counts = Counter(w for t in texts for w in lm_score.tokens(t))
     lexicon = lm_score.Lexicon.of(counts.most_common(), {})
-    first = lm_score.Network.start(lexicon.prior)
-    trainer, coder = lm_score.Trainer(first), lexicon.coder()
-    for around, cls, _, _ in lm_score.contexts(texts, lexicon, coder):
-        for k in range(0, len(cls), 256):
-            trainer.step(around[k : k + 256], cls[k : k + 256])
+    first = lm_score.Network.start(lexicon)
+    trainer, coder = lm_score.Trainer(first, lexicon), lexicon.coder()
+    for around, code, _ in lm_score.contexts(texts, lexicon, coder):
+        for k in range(0, len(code), 256):
+            c = code[k : k + 256]
+            trainer.step(around[k : k + 256], lexicon.cls[c], c)
     right, wrong = (lm_score.score_texts([t], lexicon, trainer.net, coder)[1][0] for t in ("the cat a mat the cat", "cat cat mat a a the"))
     assert right > wrong + 3
 
 
-def test_lm_probabilities_add_up():
+def test_lm_probabilities_add_up(monkeypatch):
+    monkeypatch.setattr(lm_score, "WORDS", 40)
     lexicon = lm_score.Lexicon.of([(f"w{k}".encode(), 100 - k) for k in range(80)], {e: (sum(100 - k for k in range(80) if lm_score.ending(f"w{k}".encode()) == e) + 5, sum(lm_score.ending(f"w{k}".encode()) == e for k in range(80)) + 2) for e in range(lm_score.SHARED)})
     for c in range(lm_score.OWN, lm_score.CLASSES):
         known = [k for k in range(80) if lexicon.cls[k] == c]
