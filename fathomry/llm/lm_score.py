@@ -13,7 +13,7 @@ after the shuffle), and every task trains the network in numpy on all of its tok
 common start; the parameters are then averaged, weighted by tokens, in a tree of written
 tables: each task of a level averages the models in its share of files.  What is gathered
 grows with the input, by tasks; only the network and its coder, of fixed size, reach the
-driver: the most frequent words (``KNOWN`` at most) with their counts, 48 class totals and
+driver: the most frequent words (``KNOWN`` at most) with their counts, 24 class totals and
 some 200,000 parameters.
 
 Every word keeps its count: those beyond ``KNOWN`` are joined, by document, to the written
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -40,7 +40,7 @@ from .common import most_frequent, scratch
 
 KNOWN = 20_000
 #: Words that the network predicts one by one, their classes, and classes of all others by ending.
-WORDS, OWN, SHARED = 4096, 32, 48
+WORDS, OWN, SHARED = 4096, 48, 24
 CLASSES = OWN + SHARED
 #: Models that one task averages at most in the end; more are averaged in a tree before.
 MODELS = 32
@@ -175,7 +175,7 @@ class Network:
     e: np.ndarray  # position, input row, width
     w: np.ndarray  # width, class
     b: np.ndarray  # class
-    u: np.ndarray  # width, word
+    u: np.ndarray  # word, width
     v: np.ndarray  # word
 
     @staticmethod
@@ -183,7 +183,7 @@ class Network:
         rng = np.random.default_rng(seed)
         return Network(
             rng.normal(0, 0.3, (len(OFFSETS), ROWS, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, CLASSES)).astype(np.float32), lexicon.prior.astype(np.float32),
-            rng.normal(0, 0.1, (WIDTH, lexicon.own)).astype(np.float32), lexicon.bias.copy(),
+            rng.normal(0, 0.1, (lexicon.own, WIDTH)).astype(np.float32), lexicon.bias.copy(),
         )
 
     def parts(self) -> list[np.ndarray]:
@@ -216,7 +216,7 @@ class Network:
         np.exp(y, out=y)
         out -= np.log(y.sum(axis=1))
         for rows, lo, hi in by_class(cls, lexicon):
-            y = h[rows] @ self.u[:, lo:hi]
+            y = h[rows] @ self.u[lo:hi].T
             y += self.v[lo:hi]
             out[rows] += y[np.arange(len(rows)), code[rows] - lo]
             np.exp(y, out=y)
@@ -226,8 +226,8 @@ class Network:
 
 def by_class(cls: np.ndarray, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, int, int]]:
     """Tokens of each class of several predicted words: their places, and the class's codes."""
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(OWN + 1))
+    order = np.argsort(cls.astype(np.uint8), kind="stable")  # bytes are sorted by counting
+    ends = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
     for c in range(OWN):
         lo, hi = int(lexicon.cuts[c]), int(lexicon.cuts[c + 1])
         if hi - lo > 1 and ends[c + 1] > ends[c]:
@@ -260,15 +260,15 @@ class Trainer:
         d /= n
         gh = d @ net.w.T
         for rows, lo, hi in by_class(cls, self.lexicon):
-            own, u = h[rows], net.u[:, lo:hi]
-            y = own @ u
+            own, u = h[rows], net.u[lo:hi]
+            y = own @ u.T
             y += net.v[lo:hi]
             np.exp(y, out=y)
             y /= y.sum(axis=1, keepdims=True)
             y[np.arange(len(rows)), code[rows] - lo] -= 1
             y /= n
-            gh[rows] += y @ u.T
-            self._move(u, own.T @ y, self.gu[:, lo:hi])
+            gh[rows] += y @ u
+            self._move(u, y.T @ own, self.gu[lo:hi])
             self._move(net.v[lo:hi], y.sum(axis=0), self.gv[lo:hi])
             np.clip(u, -LARGEST, LARGEST, out=u)
         gh *= 1 - h * h
@@ -291,14 +291,18 @@ class Trainer:
         p -= RATE * g / np.sqrt(total)
 
 
-def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
-    """By some texts at a time: context rows and codes of all tokens, and tokens by text."""
+def coded(words: list[bytes], coder: _Coder) -> np.ndarray:
+    return np.fromiter(map(coder.__getitem__, words), np.int64, len(words))
+
+
+def contexts(texts: Iterable[np.ndarray], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, list[int]]]:
+    """By some texts (as codes) at a time: context rows and codes of all tokens, and tokens by text."""
     held: list[np.ndarray] = []
     sizes: list[int] = []
     held_tokens = 0
 
     def out():
-        rows = np.full(sum(sizes) + 2 * len(sizes) + 2, PAD, np.int32)
+        rows = np.full(sum(sizes) + 2 * len(sizes) + 2, PAD, np.intp)
         at, places = 2, []
         for c in held:
             rows[at : at + len(c)] = lexicon.row[c]
@@ -306,14 +310,13 @@ def contexts(texts, lexicon: Lexicon, coder: _Coder) -> Iterator[tuple[np.ndarra
             at += len(c) + 2
         place = np.concatenate(places) if places else np.empty(0, int)
         code = np.concatenate(held) if held else np.empty(0, np.int64)
-        around = np.stack([rows[place + o] for o in OFFSETS], axis=1)
-        return around, code, list(sizes)
-
-    for t in texts:
-        words = tokens(t)
-        held.append(np.fromiter(map(coder.__getitem__, words), np.int64, len(words)))
-        sizes.append(len(words))
-        held_tokens += len(words)
+        around = np.stack([rows[place + o] for o in OFFSETS])
+        return around.T, code, list(sizes)
+
+    for c in texts:
+        held.append(c)
+        sizes.append(len(c))
+        held_tokens += len(c)
         if held_tokens >= 10 * BATCH:
             yield out()
             held, sizes, held_tokens = [], [], 0
@@ -327,7 +330,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Network:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trainer, coder = Trainer(first, lexicon), lexicon.coder()
         for b in batches:
-            for around, code, _ in contexts(b["text"], lexicon, coder):
+            for around, code, _ in contexts((coded(tokens(t), coder) for t in b["text"]), lexicon):
                 trainer.learn(around, code)
         if trainer.seen:
             yield pd.DataFrame({"v": [trainer.net.flat().tobytes()], "n": [float(trainer.seen)]})
@@ -367,8 +370,13 @@ def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
 
 
 def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[list[int], list[float]]:
+    return score_codes((coded(tokens(t), coder) for t in texts), lexicon, net)
+
+
+def score_codes(texts: Iterable[np.ndarray], lexicon: Lexicon, net: Network) -> tuple[list[int], list[float]]:
+    """Tokens and summed log-probability of each text."""
     sizes, sums = [], []
-    for around, code, part in contexts(texts, lexicon, coder):
+    for around, code, part in contexts(texts, lexicon):
         cls, logp = lexicon.cls[code], lexicon.logp[code]
         cut = [slice(k, k + BATCH) for k in range(0, len(cls), BATCH)]
         each = np.concatenate([logp[:0], *(net.log_probability(around[c], cls[c], code[c], lexicon) + logp[c] for c in cut)])
@@ -382,7 +390,22 @@ def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[l
 def unigram_sum(texts, lexicon: Lexicon, coder: _Coder) -> float:
     """What counts alone give: the measure to hold the network against."""
     own = np.concatenate([lexicon.bias, np.zeros(len(lexicon.cls) - lexicon.own)])
-    return sum(float((lexicon.prior[lexicon.cls[c]] + lexicon.logp[c] + own[c]).sum()) for _, c, _ in contexts(texts, lexicon, coder))
+    return sum(float((lexicon.prior[lexicon.cls[c]] + lexicon.logp[c] + own[c]).sum()) for _, c, _ in contexts((coded(tokens(t), coder) for t in texts), lexicon))
+
+
+def some_texts(b: pd.DataFrame) -> Iterator[tuple[pd.Series, list[list[bytes]]]]:
+    """A batch's ids and tokens in groups of about ten steps, so that a worker never holds a whole batch as tokens."""
+    held: list[list[bytes]] = []
+    n = start = 0
+    for t in b["text"]:
+        held.append(tokens(t))
+        n += len(held[-1])
+        if n >= 10 * BATCH:
+            yield b["doc_id"].iloc[start : start + len(held)].reset_index(drop=True), held
+            start += len(held)
+            held, n = [], 0
+    if held:
+        yield b["doc_id"].iloc[start:].reset_index(drop=True), held
 
 
 def pseudo_likelihood(docs: DataFrame, known: int = KNOWN) -> DataFrame:
@@ -396,9 +419,11 @@ def pseudo_likelihood(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = bare.coder()
         for b in batches:
-            n, s = score_texts(b["text"], bare, net, coder)
-            other = [Counter(w for w in tokens(t) if w not in bare.known) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "part": s, "words": [list(c) for c in other], "times": [list(c.values()) for c in other]})
+            for ids, words in some_texts(b):
+                codes = [coded(w, coder) for w in words]
+                n, s = score_codes(codes, bare, net)
+                other = [Counter([w[k] for k in np.flatnonzero(c >= len(bare.known)).tolist()]) for w, c in zip(words, codes, strict=True)]
+                yield pd.DataFrame({"doc_id": ids, "n_tokens": n, "part": s, "words": [list(c) for c in other], "times": [list(c.values()) for c in other]})
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scored = rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, part double, words array<binary>, times array<int>")

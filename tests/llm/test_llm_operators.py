@@ -572,7 +572,7 @@ def test_lm_learns_order():
     lexicon = lm_score.Lexicon.of(counts.most_common(), {})
     first = lm_score.Network.start(lexicon)
     trainer, coder = lm_score.Trainer(first, lexicon), lexicon.coder()
-    for around, code, _ in lm_score.contexts(texts, lexicon, coder):
+    for around, code, _ in lm_score.contexts((lm_score.coded(lm_score.tokens(t), coder) for t in texts), lexicon):
         for k in range(0, len(code), 256):
             c = code[k : k + 256]
             trainer.step(around[k : k + 256], lexicon.cls[c], c)
