@@ -539,7 +539,7 @@ def test_lm_scores(spark):
             total += float(y[lexicon.cls[c]] - y.max() - np.log(np.exp(y - y.max()).sum())) + lexicon.logp[c]
             if c < lexicon.own:
                 lo, hi = lexicon.cuts[lexicon.cls[c]], lexicon.cuts[lexicon.cls[c] + 1]
-                y = h @ net.u[:, lo:hi] + net.v[lo:hi]
+                y = h @ net.u[lo:hi].T + net.v[lo:hi]
                 total += float(y[c - lo] - np.log(np.exp(y).sum()))
         assert n == len(w) and abs(s - total) < 1e-3 * max(1, n)
 
