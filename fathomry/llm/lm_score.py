@@ -16,7 +16,8 @@ grows with the input, by tasks; only the network and its coder, of fixed size, r
 driver: the most frequent words (``KNOWN`` at most) with their counts, 24 class totals and
 some 200,000 parameters.
 
-Every word keeps its count: those beyond ``KNOWN`` are joined, by document, to the written
+Texts are coded once, in a written table that training and scoring read.  Every word keeps
+its count: those beyond ``KNOWN`` are joined, by document, to the written
 counts of all words, so ``KNOWN`` bounds what a worker holds and not what a score rests on.
 Null, empty and blank texts have no tokens: the sum is 0 and the mean null.  Whole texts are
 scored; repeated rows are scored alike; an empty table gives an empty result; other columns
@@ -52,6 +53,8 @@ WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 #: Tokens of a step: it starts small and doubles every ``DOUBLE`` steps, so that little text trains as well.
 BATCH, FIRST_BATCH, DOUBLE = 8192, 256, 48
+#: Tokens whose class scores are held at once, to fit a core's cache.
+PART = 1024
 RATE = 0.15
 #: Bound on output weights; 16 of them times tanh keep scores below 50.
 LARGEST = 3.0
@@ -75,7 +78,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def out() -> pd.DataFrame:
             words = list(held)
-            frame = pd.DataFrame({"word": words, "ending": [ending(w) for w in words], "n": list(held.values())})
+            frame = pd.DataFrame({"word": words, "n": list(held.values())})
             held.clear()
             return frame
 
@@ -87,8 +90,9 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    part = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word binary, ending int, n long")
-    return part.groupBy("word", "ending").agg(F.sum("n").alias("n"))
+    part = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word binary, n long")
+    whole = part.groupBy("word").agg(F.sum("n").alias("n"))
+    return whole.select("word", (F.crc32(F.substring("word", -3, 3)) % SHARED).cast("int").alias("ending"), "n")  # as ``ending`` has it
 
 
 @dataclass
@@ -212,11 +216,13 @@ class Network:
         order = sorted_by(cls)
         cls, code, place = cls[order], code[order], np.arange(len(cls))
         h = self.hidden(around[order])
-        y = h @ self.w
-        y += self.b
-        found = y[place, cls]
-        np.exp(y, out=y)
-        found -= np.log(y @ ones(y.shape[1]))
+        found = np.empty(len(cls), np.float32)
+        for a in range(0, len(cls), PART):
+            y = h[a : a + PART] @ self.w
+            y += self.b
+            found[a : a + PART] = y[place[: len(y)], cls[a : a + PART]]
+            np.exp(y, out=y)
+            found[a : a + PART] -= np.log(y @ ones(CLASSES))
         for a, b, lo, hi in by_class(cls, lexicon):
             y = h[a:b] @ self.u[lo:hi].T
             y += self.v[lo:hi]
@@ -265,12 +271,16 @@ class Trainer:
         net, n, order = self.net, len(cls), sorted_by(cls)
         around, cls, code, place, each = around[order], cls[order], code[order], np.arange(n), np.float32(1 / n)
         h = net.hidden(around)
-        d = h @ net.w
-        d += net.b
-        np.exp(d, out=d)
-        d *= (each / (d @ ones(CLASSES)))[:, None]
-        d[place, cls] -= each
-        gh = d @ net.w.T
+        gh, gw, gb = np.empty_like(h), np.zeros_like(net.w), np.zeros_like(net.b)
+        for a in range(0, n, PART):
+            d = h[a : a + PART] @ net.w
+            d += net.b
+            np.exp(d, out=d)
+            d *= (each / (d @ ones(CLASSES)))[:, None]
+            d[place[: len(d)], cls[a : a + PART]] -= each
+            np.matmul(d, net.w.T, out=gh[a : a + PART])
+            gw += h[a : a + PART].T @ d
+            gb += ones(len(d)) @ d
         gu, gv = np.zeros_like(net.u), np.zeros_like(net.v)  # a parameter without a gradient doesn't move
         for a, b, lo, hi in by_class(cls, self.lexicon):
             own, u = h[a:b], net.u[lo:hi]
@@ -286,8 +296,8 @@ class Trainer:
         self._move(net.v, gv, self.gv)
         np.clip(net.u, -LARGEST, LARGEST, out=net.u)
         gh *= 1 - h * h
-        self._move(net.w, h.T @ d, self.gw)
-        self._move(net.b, d.sum(axis=0), self.gb)
+        self._move(net.w, gw, self.gw)
+        self._move(net.b, gb, self.gb)
         np.clip(net.w, -LARGEST, LARGEST, out=net.w)
         parts = np.ascontiguousarray(gh.T, dtype=float)
         g = np.empty((len(OFFSETS), WIDTH, ROWS), np.float32)
@@ -338,18 +348,42 @@ def contexts(texts: Iterable[np.ndarray], lexicon: Lexicon) -> Iterator[tuple[np
         yield out()
 
 
-def train(docs: DataFrame, lexicon: Lexicon) -> Network:
+def code_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """One written row per document: __row, doc_id, its codes, and its words without a code of their own with their times."""
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    n = len(lexicon.known)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = lexicon.coder()
+        for b in batches:
+            for ids, words in some_texts(b):
+                codes = [coded(w, coder) for w in words]
+                other = [Counter([w[k] for k in np.flatnonzero(c >= n).tolist()]) for w, c in zip(words, codes, strict=True)]
+                packed = [c.astype(np.int32).tobytes() for c in codes]
+                yield pd.DataFrame({"doc_id": ids, "codes": packed, "words": [list(c) for c in other], "times": [list(c.values()) for c in other]})
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    out = rows.mapInPandas(run, f"doc_id {kind}, codes binary, words array<binary>, times array<int>")
+    return scratch(out.withColumn("__row", F.monotonically_increasing_id()), "lm-codes")
+
+
+def unpacked(codes: pd.Series) -> Iterator[np.ndarray]:
+    return (np.frombuffer(c, np.int32) for c in codes)
+
+
+def train(texts: DataFrame, lexicon: Lexicon) -> Network:
+    """The network of all coded texts (``code_texts``)."""
     first = Network.start(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer, coder = Trainer(first, lexicon), lexicon.coder()
+        trainer = Trainer(first, lexicon)
         for b in batches:
-            for around, code, _ in contexts((coded(tokens(t), coder) for t in b["text"]), lexicon):
+            for around, code, _ in contexts(unpacked(b["codes"]), lexicon):
                 trainer.learn(around, code)
         if trainer.seen:
             yield pd.DataFrame({"v": [trainer.net.flat().tobytes()], "n": [float(trainer.seen)]})
 
-    models = scratch(docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "v binary, n double"), "lm-models")
+    models = scratch(texts.select("codes").mapInPandas(run, "v binary, n double"), "lm-models")
     while True:
         n = models.count()
         if n <= MODELS:
@@ -380,7 +414,7 @@ def lexicon_of(counts: DataFrame, known: int) -> Lexicon:
 
 def fit(docs: DataFrame, known: int = KNOWN) -> tuple[Lexicon, Network]:
     lexicon = lexicon_of(scratch(count_words(docs), "lm-counts"), known)
-    return lexicon, train(docs, lexicon)
+    return lexicon, train(code_texts(docs, lexicon), lexicon)
 
 
 def score_texts(texts, lexicon: Lexicon, net: Network, coder: _Coder) -> tuple[list[int], list[float]]:
@@ -426,24 +460,19 @@ def pseudo_likelihood(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, n_tokens, pll, mean_pll."""
     counts = scratch(count_words(docs), "lm-counts")
     lexicon = lexicon_of(counts, known)
-    net = train(docs, lexicon)
+    texts = code_texts(docs, lexicon)
+    net = train(texts, lexicon)
     bare = lexicon.without_other_counts()
-    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = bare.coder()
         for b in batches:
-            for ids, words in some_texts(b):
-                codes = [coded(w, coder) for w in words]
-                n, s = score_codes(codes, bare, net)
-                other = [Counter([w[k] for k in np.flatnonzero(c >= len(bare.known)).tolist()]) for w, c in zip(words, codes, strict=True)]
-                yield pd.DataFrame({"doc_id": ids, "n_tokens": n, "part": s, "words": [list(c) for c in other], "times": [list(c.values()) for c in other]})
+            n, s = score_codes(unpacked(b["codes"]), bare, net)
+            yield pd.DataFrame({"__row": b["__row"], "doc_id": b["doc_id"], "n_tokens": n, "part": s})
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scored = rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, part double, words array<binary>, times array<int>")
-    scored = scratch(scored.withColumn("__row", F.monotonically_increasing_id()), "lm-scored")
-    other = scored.select("__row", F.explode(F.arrays_zip("words", "times")).alias("o")).select("__row", F.col("o.words").alias("word"), F.col("o.times").alias("times"))
+    scored = scratch(texts.select("__row", "doc_id", "codes").mapInPandas(run, f"__row long, doc_id {kind}, n_tokens long, part double"), "lm-scored")
+    other = texts.select("__row", F.explode(F.arrays_zip("words", "times")).alias("o")).select("__row", F.col("o.words").alias("word"), F.col("o.times").alias("times"))
     added = other.join(counts.select("word", "n"), "word").groupBy("__row").agg(F.sum(F.col("times") * F.log("n")).alias("added"))
     pll = F.col("part") + F.coalesce("added", F.lit(0.0))
-    whole = scored.select("__row", "doc_id", "n_tokens", "part").join(added, "__row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    whole = scored.join(added, "__row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
     return whole.select("doc_id", "n_tokens", F.round("pll", 4).alias("pll"), F.round(F.try_divide("pll", "n_tokens"), 6).alias("mean_pll"))
