@@ -8,7 +8,7 @@ logistic regression in numpy then weighs what the lexicon finds in a text.
 Scoring: the lexicon's trie is intersected with a Levenshtein automaton (one edit for
 words of five letters or more, two from twelve).  The product is made deterministic as texts
 are read, so a word costs one look-up a letter, and a word that can't match ends at once.
-Every hit has a context window: quotation marks around it or words of reporting near it
+Every hit has a context window: quotation marks around it in its line, however far, or words of reporting near it
 speak for a quotation, direct address for abuse.  The counts of exact, misspelled, stem,
 quoted and addressed hits, by weight and by length of text, are the inputs; labels, lang,
 source and doc_id are not.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +51,7 @@ REPORT = frozenset("said says wrote quote quoted word term called sagte schrieb
 ADDRESS = frozenset("you your youre yourself u ur du dich dir ihr euch tu te toi vous ton ta tú ti usted ustedes".split())
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‘": "’", "`": "`"}
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = re.compile("[" + "".join(sorted({*QUOTES, *QUOTES.values()})) + "]")
 FEATURES = ("exact", "near", "stem", "quoted", "addressed", "kinds", "density", "density_stem", "most", "most_stem")
 
 
@@ -174,33 +176,49 @@ class Matcher:
         return best
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether the nearest quotation mark before opens a quotation that the next one closes."""
-    line = text.rfind("\n", 0, start) + 1
-    stop = text.find("\n", end)
-    stop = len(text) if stop < 0 else stop
-    for a, b in QUOTES.items():
-        k = text.rfind(a, max(line, start - 200), start)
-        if k >= 0 and text.find(b, k + 1, start) < 0 and text.find(b, end, min(stop, end + 200)) >= 0:
-            if a != b or text.count(a, line, start) % 2:
+def lowered(text: str) -> str:
+    """In lower case, letter by letter where the whole would change its length (as the dotted capital I does)."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower()[0] for c in text)
+
+
+class Quotations:
+    """Quotation marks of a text, found once for each line that is asked for; ask in rising order."""
+
+    def __init__(self, text: str):
+        self.text, self.stop = text, -1
+        self.marks: dict[str, list[int]] = {}
+
+    def __call__(self, start: int, end: int) -> bool:
+        """Whether the nearest mark before, in the line, opens a quotation that a later one closes."""
+        if start > self.stop:
+            line, stop = self.text.rfind("\n", 0, start) + 1, self.text.find("\n", end)
+            self.stop, self.marks = len(self.text) if stop < 0 else stop, {}
+            for m in _MARKS.finditer(self.text, line, self.stop):
+                self.marks.setdefault(m.group(), []).append(m.start())
+        for a, b in QUOTES.items():
+            opens, closes = self.marks.get(a, []), self.marks.get(b, [])
+            before = bisect_left(opens, start)
+            if not before or not closes or closes[-1] < end:
+                continue
+            if before % 2 if a == b else bisect_left(closes, opens[before - 1]) == bisect_left(closes, start):
                 return True
-    return False
+        return False
 
 
 def features(text: str, matcher: Matcher) -> list[float]:
-    words = _WORD.findall(text.lower())
+    low = lowered(text)
+    words = _WORD.findall(low)
     hits = [k for k, h in enumerate(map(matcher, words)) if h]
     if not hits:
         return [0.0] * len(FEATURES)
-    places = {}
-    if len(text.lower()) == len(text):
-        wanted = set(hits)
-        places = {k: m.span() for k, m in enumerate(_WORD.finditer(text.lower())) if k in wanted}
+    wanted, quoted = set(hits), Quotations(low)
+    places = {k: m.span() for k, m in enumerate(_WORD.finditer(low)) if k in wanted}
     exact = near = stem = quote = address = most = most_stem = 0.0
     for k in hits:
         weight, edits = matcher(words[k])
         around = words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW]
-        if (k in places and quoted(text, *places[k])) or not REPORT.isdisjoint(around):
+        if quoted(*places[k]) or not REPORT.isdisjoint(around):
             quote += weight
             continue
         exact += weight if edits == 0 else 0

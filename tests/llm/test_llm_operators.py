@@ -87,6 +87,26 @@ def test_quotation_and_abuse():
     assert abuse[at("near")] > 0 and abuse[at("addressed")] > 0 and abuse[at("quoted")] == 0
     assert quote[at("quoted")] > 0 and quote[at("exact")] == 0
     assert toxicity.features("nothing here", match) == [0.0] * len(toxicity.FEATURES)
+    for text in ('İ they read "idiot" aloud', 'they read "' + "x " * 200 + "idiot " + "y " * 200 + '" aloud'):
+        assert toxicity.features(text, match)[at("quoted")] > 0
+
+
+def test_quotations_match_a_plain_search():
+    def plain(text, start, end):
+        line, stop = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        stop = len(text) if stop < 0 else stop
+        for a, b in toxicity.QUOTES.items():
+            k = text.rfind(a, line, start)
+            if k >= 0 and text.find(b, k + 1, start) < 0 and text.find(b, end, stop) >= 0 and (a != b or text.count(a, line, start) % 2):
+                return True
+        return False
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice('ab \n"“”„«»‘’`') for _ in range(rng.randint(0, 60)))
+        quoted = toxicity.Quotations(text)
+        for m in re.finditer(r"\w+", text):
+            assert quoted(*m.span()) == plain(text, *m.span())
 
 
 def test_toxicity_held_out(spark):
