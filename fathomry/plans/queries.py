@@ -786,3 +786,6 @@ def extracted_python(v: Views) -> DataFrame:
     read = graph.scratch(extract.extract(p.select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))), "extracted")
     sites = extract.sites_of(read).select(F.col("caller").alias("qualified_name"), F.col("name").alias("callee"))
     return extract.symbols_of(read).join(sites, "qualified_name").select("qualified_name", "type", "line", "complexity", "callee")
+
+
+from . import endpoints, readers  # noqa: E402, F401  registers their queries
