@@ -117,6 +117,35 @@ def api_validate_draft(v: Views) -> DataFrame:
     return rows.select("valid", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query(ORACLES["explore_graph_both"])
+def api_explore_graph(v: Views) -> DataFrame:
+    e = v.contains.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("contains").alias("type"))
+    ends = e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
+    k = served(v, nodes=ends.withColumn("type", F.substring_index("id", ":", 1)), edges=e)
+    return k.explore_graph("customer:1", ["contains"])[0].select("id", "depth")
+
+
+@query(ORACLES["index_summary"])
+def api_project_overview(v: Views) -> DataFrame:
+    meta = v.spark.range(1).select(F.lit("standard").alias("richness"))
+    one = served(v, symbols=symbols(v), files=v.files, meta=meta).get_project_overview()["index"]
+    listed = F.array_join(F.transform(F.array_sort(F.map_keys("symbol_counts")), lambda k: F.concat(k, F.lit("="), F.col("symbol_counts")[k].cast("string"))), ",")
+    return one.select("file_count", "symbol_count", listed.alias("types"))
+
+
+@query(f"""with {SYMBOLS} select count(*) total, count(*) filter (where is_exported and type <> 'module-init') exported, count(*) filter (where type = 'function') functions,
+count(*) filter (where type = 'class') classes, count(*) filter (where type = 'interface') interfaces from symbols""")
+def api_code_patterns(v: Views) -> DataFrame:
+    found = served(v, symbols=symbols(v), files=v.files).get_code_patterns()["structure"]
+    return found.select("total", "exported", "functions", "classes", "interfaces")
+
+
+@query(f"""with {FILES}, own as (select path, module, split_part(path, '/', 2) lang from files where ends_with(path, '/doc_3.txt'))
+select f.path from files f join own on f.module = own.module and split_part(f.path, '/', 2) = own.lang where f.path <> own.path""")
+def api_implementation_siblings(v: Views) -> DataFrame:
+    return served(v, files=v.files, symbols=symbols(v)).get_implementation_context("doc_3.txt", snippets=False)["siblings"]
+
+
 # --- sinks ------------------------------------------------------------------------------------
 
 
