@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -110,6 +111,49 @@ def test_resolve_calls(spark):
     assert {tuple(r) for r in graph.resolve_calls(sites, symbols).collect()} == {("a.py::m", "a.py::f"), ("c.py::m", "a.py::f"), ("c.py::m", "b.py::f"), ("a.py::m", "b.py::g")}
 
 
+def test_resolve_calls_without_homes(spark):
+    symbols = spark.createDataFrame([("f", "a.py", "a.py::f"), ("f", None, "?::f"), ("g", None, "?::g"), ("f", "a.py", None), ("f", "a.py", "a.py::f")], "name string, file string, qualified_name string")
+    sites = spark.createDataFrame([("a", "a.py", "f"), ("c", "c.py", "f"), ("d", "c.py", "g"), ("e", None, "f"), (None, "c.py", "f")], "caller string, file string, name string")
+    far = {("c", "a.py::f"), ("c", "?::f"), ("c", None), (None, "a.py::f"), (None, "?::f"), (None, None)}
+    assert {tuple(r) for r in graph.resolve_calls(sites, symbols).collect()} == {("a", "a.py::f"), ("a", None)} | far
+
+
+@pytest.mark.parametrize("held", [32_000_000, 0])
+def test_callee_digests(spark, monkeypatch, held):
+    """Both ways (names held by workers, pairs) against the pairs of a plain search; names shared by definitions count once."""
+    monkeypatch.setattr(graph, "MAX_BROADCAST_BYTES", held)
+    defs = [(f"n{i % 5}", None if i % 11 == 0 else f"f{i % 7}", None if i % 13 == 0 else f"q{i % 60}\u00e4" * (1 + i % 3)) for i in range(200)] + [("lost", None, "q"), ("nil", "f0", None)]
+    calls = [(None if i % 17 == 0 else f"c{i % 40}", None if i % 19 == 0 else f"f{i % 9}", f"n{i % 6}") for i in range(300)] + [("only", "f0", "lost"), ("nils", "f0", "nil"), ("same", "f1", "n1"), ("again", "f1", "n1")]
+    found: dict = {}
+    for caller, file, name in calls:
+        own = [d for d in defs if d[0] == name]
+        near = [d for d in own if d[1] == file]
+        if file is not None and any(d[1] is not None for d in own):
+            found.setdefault(caller, set()).update(d[2] for d in near or own)
+    want = set()
+    for caller, callees in found.items():
+        texts = sorted(x.encode() for x in callees if x is not None)
+        want.add((caller, len(texts), hashlib.sha256(b",".join(texts)).hexdigest() if texts else None))
+    symbols = spark.createDataFrame(defs, "name string, file string, qualified_name string")
+    got = graph.callee_digests(spark.createDataFrame(calls, "caller string, file string, name string"), symbols).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("find", ["resolve_calls", "callee_digests"])
+def test_calls_of_a_common_name_make_no_pairs_to_drop(spark, find):
+    """400 files define the same name and call their own: what is shuffled grows with the sites, not with sites times definitions."""
+    n = 400
+    symbols = spark.range(n).selectExpr("'run' name", "concat('f', id) file", "concat('f', id, '::run') qualified_name")
+    sites = symbols.selectExpr("concat(file, '::main') caller", "file", "name")
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    sc.setJobGroup(f"common-{find}", "test")
+    assert getattr(graph, find)(sites, symbols).count() == n
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(f"common-{find}") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert stages and sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages) < 20 * n
+
+
 def test_bm25(spark):
     docs = spark.createDataFrame([("a", "auth login auth"), ("b", "authService.login"), ("c", ""), ("d", None), ("e", " ".join(["auth"] * 10))], "doc_id string, text string")
     got = retrieval.bm25(docs, "auth", 10).collect()
